@@ -120,3 +120,24 @@ def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         total += n
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], compute, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (else all but ``inputs``) as they are, and the columns that ``compute(*lists of inputs)`` returns as Arrow arrays.
+
+    Columns that only pass through stay in Arrow, so nulls and wide integers are safe.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    kept = keep if keep is not None else [c for c in df.columns if c not in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute(*[batch.column(c).to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=[*kept, *[f[0] for f in fields]])
+
+    schema = T.StructType([df.schema[c] for c in kept])
+    for name, kind in fields:
+        schema = schema.add(name, T._parse_datatype_string(kind))
+    return df.mapInArrow(run, schema)

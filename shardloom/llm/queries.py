@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, topk, url_filter
+from . import quality_rules, sharding, simhash, topk, url_filter
 from .common import read
 
 #: The url rules of the filter's query.
@@ -22,6 +22,10 @@ URL_RULES = [
 SHARDS = 16
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(read(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,6 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op7_topk": op7_topk,
