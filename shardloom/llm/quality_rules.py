@@ -13,17 +13,20 @@ work; extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import append_columns, durable
+
 #: Characters that count as symbols (fixed value).
 SYMBOLS = b"#*$%&|<>"
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+#: Bytes that begin a character, in UTF-8.
+_LEADING = bytes(b for b in range(256) if b & 0xC0 != 0x80)
+
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: list[bytes], k: int) -> int:
@@ -61,7 +64,7 @@ def statistics(text: str | None, k: int = 5) -> tuple[int, int, int, int, int]:
     data = (text or "").encode()
     words = data.split()
     joined = b"".join(words)
-    chars = len(joined) - len(joined.translate(None, bytes(b for b in range(256) if b & 0xC0 != 0x80))) if not joined.isascii() else len(joined)
+    chars = len(joined) if joined.isascii() else len(joined) - len(joined.translate(None, _LEADING))
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     lines = [line for line in data.split(b"\n") if line.split(None, 1)] if b"\n" in data else []
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words, k)
@@ -85,15 +88,12 @@ def beta_prior(hosts: DataFrame, n: str, failed: str) -> tuple[float, float]:
 def with_statistics(docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """The key, host and statistics of every row."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
-    names = [x.split()[0] for x in STATS.split(", ")]
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([statistics(t) for t in batch.pop("text")], np.int64).reshape(len(batch), len(names))
-            yield batch.assign(**{name: found[:, i] for i, name in enumerate(names)})
+    def measure(texts: list[str | None]) -> list[pa.Array]:
+        found = np.array([statistics(t) for t in texts], np.int64).reshape(len(texts), -1)
+        return [pa.array(found[:, i]) for i in range(len(STATS))]
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(measure, f"doc_id {kind}, host string, {STATS}")
+    return append_columns(rows, ["text"], [(name, "long") for name in STATS], measure)
 
 
 def host_verdicts(judged: DataFrame, host_limit: float) -> DataFrame:
@@ -106,11 +106,9 @@ def host_verdicts(judged: DataFrame, host_limit: float) -> DataFrame:
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", min_words: int = 10, max_repeat_percent: int = 20, host_limit: float = 0.5) -> DataFrame:
     """Of each row: the statistics, base_failed, and kept (neither the rules nor the host's verdict are against it)."""
-    from .common import durable
-
     rows = with_statistics(docs, host, text, key)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     judged = durable(rows.withColumn("base_failed", failed))  # narrow; read for the hosts and for the verdicts
     hosts = host_verdicts(judged, host_limit)
     joined = judged.alias("d").join(hosts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")), "left")
-    return joined.select("d.doc_id", "d.host", *[f"d.{x.split()[0]}" for x in STATS.split(", ")], "d.base_failed", (~F.col("d.base_failed") & F.col("h.host_stands")).alias("kept"))
+    return joined.select("d.doc_id", "d.host", *[f"d.{x}" for x in STATS], "d.base_failed", (~F.col("d.base_failed") & F.col("h.host_stands")).alias("kept"))
