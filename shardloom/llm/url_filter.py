@@ -20,17 +20,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import sha256
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import append_columns
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -68,7 +70,7 @@ class DigestArray:
         """Write the files of a map and return their stem. Of an entry given twice, the last payload holds."""
         last = {text.encode(): payload for text, payload in entries}
         rows = sorted((digest(text), text, payload) for text, payload in last.items())
-        stem = os.path.join(folder, "digests-" + sha256(repr(rows).encode()).hexdigest()[:24])
+        stem = os.path.join(folder, f"digests-{uuid.uuid4().hex}")  # shipped files can't share a name
         np.array([r[0] for r in rows], np.uint64).tofile(f"{stem}.keys")
         np.concatenate(([0], np.cumsum([len(r[1]) for r in rows], dtype=np.int64))).astype(np.int64).tofile(f"{stem}.offsets")
         with open(f"{stem}.strings", "wb") as out:
@@ -119,25 +121,23 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "pag
     stem = DigestArray.build([(rule.name, i) for i, rule in enumerate(rules)], tempfile.mkdtemp(prefix="shardloom-rules-"))
     name = ship(spark, stem)
     lengths = sorted({len(rule.path) for rule in rules}, reverse=True)
-    texts = F.col(url).cast("string")
-    after = F.when(F.instr(texts, "://") > 0, F.expr(f"substring(cast(`{url}` AS string), instr(cast(`{url}` AS string), '://') + 3)"))
+    after = F.when(F.instr(F.col(url).cast("string"), "://") > 0, F.expr(f"substring(cast(`{url}` AS string), instr(cast(`{url}` AS string), '://') + 3)"))
     host = F.coalesce(F.translate(F.regexp_extract(after, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
     path = F.coalesce(F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
     names, verdicts = [r.name for r in rules], [r.verdict for r in rules]
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(hosts: list[str], paths: list[str]) -> list[pa.Array]:
         table = DigestArray(os.path.join(os.path.dirname(SparkFiles.get(f"{name}.keys")), name))
-        for batch in batches:
-            asked, ends = [], []
-            for h, p in zip(batch["host"], batch["path"], strict=True):
-                asked += [text.encode() for text in candidates(h, p, lengths)]
-                ends.append(len(asked))
-            found, begin, chosen = table.find(asked), 0, []
-            for end in ends:
-                hits = np.flatnonzero(found[begin:end] >= 0)
-                chosen.append(int(found[begin + hits[0]]) if len(hits) else -1)
-                begin = end
-            yield batch.assign(rule=[names[i] if i >= 0 else None for i in chosen], verdict=[verdicts[i] if i >= 0 else default for i in chosen])
+        asked, ends = [], [0]
+        for h, p in zip(hosts, paths, strict=True):
+            asked += [text.encode() for text in candidates(h, p, lengths)]
+            ends.append(len(asked))
+        found, chosen = table.find(asked), []
+        for begin, end in zip(ends[:-1], ends[1:], strict=True):
+            hits = np.flatnonzero(found[begin:end] >= 0)  # the first is the longest
+            chosen.append(int(found[begin + hits[0]]) if len(hits) else -1)
+        fit = [names[i] if i >= 0 else None for i in chosen]
+        return [pa.array(fit, pa.string()), pa.array([verdicts[i] if i >= 0 else default for i in chosen], pa.string())]
 
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
-    return rows.mapInPandas(probe, rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit("").alias("verdict")).schema)
+    return append_columns(rows, ["host", "path"], [("rule", "string"), ("verdict", "string")], probe, keep=["page_id", "host", "path"])
