@@ -79,7 +79,8 @@ class Hasher:
         self.table[_WS] = 0
         self.powers = mix64(rng.integers(1, 2**63, _POWERS, dtype=np.uint64)) | np.uint64(1)
 
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = None) -> np.ndarray:
+        """A hash for each word, or for its first ``most`` bytes."""
         if not len(starts):
             return np.zeros(0, np.uint64)
         at = np.arange(len(data), dtype=np.int64)
@@ -87,7 +88,9 @@ class Hasher:
         at &= _POWERS - 1
         value = self.table[data]
         value *= self.powers[at]
-        return mix64(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
+        if most is not None:
+            value[at >= most] = 0
+        return mix64(np.add.reduceat(value, starts) + (ends - starts if most is None else np.minimum(ends - starts, most)).astype(np.uint64))
 
     def windows(self, words: np.ndarray, k: int) -> np.ndarray:
         """One hash for each run of k words; empty when there are fewer."""
