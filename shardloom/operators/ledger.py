@@ -49,6 +49,7 @@ def commit(rows: DataFrame, batch_id: int, data_path: str, ledger_path: str, id_
     spark = rows.sparkSession
     earlier = ensure_ledger(spark, ledger_path).where(F.col("batch_id") != batch_id)
     fresh = first_wins(not_in_ledger(rows, earlier), KEY, order)
-    insert_rows(fresh, id_column).write.mode("overwrite").partitionBy("target_db").parquet(f"{data_path}/batch_id={batch_id}")
-    written = spark.read.parquet(f"{data_path}/batch_id={batch_id}").select(*KEY)
+    inserted = insert_rows(fresh, id_column)
+    inserted.write.mode("overwrite").partitionBy("target_db").parquet(f"{data_path}/batch_id={batch_id}")
+    written = spark.read.schema(inserted.schema).parquet(f"{data_path}/batch_id={batch_id}").select(*KEY)  # may be no row
     written.withColumn("transferred_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
