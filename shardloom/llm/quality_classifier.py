@@ -99,27 +99,28 @@ def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int
     n, n_good = len(good), int(good.sum())
     if not 0 < n_good < n:
         return Model(np.zeros(STYLE), np.zeros(0, np.int64), np.zeros(0), seed)
-    row = np.repeat(np.arange(n), [len(w) for w in words])
-    flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-    in_good = np.bincount(flat[good[row] == 1], minlength=BINS).astype(float)
-    in_bad = np.bincount(flat[good[row] == 0], minlength=BINS).astype(float)
+    counts = np.zeros((2, BINS))
+    for mine, label in zip(words, good, strict=True):  # a text's bins differ
+        counts[int(label), mine] += 1
+    in_bad, in_good = counts
     odds = np.log((in_good + 0.5) / (n_good - in_good + 0.5)) - np.log((in_bad + 0.5) / (n - n_good - in_bad + 0.5))
     error = np.sqrt(1 / (in_good + 0.5) + 1 / (in_bad + 0.5) + 1 / (n_good - in_good + 0.5) + 1 / (n - n_good - in_bad + 0.5))
     z = np.where(in_good + in_bad >= LEAST_DOCS, np.abs(odds / error), 0)
     bins = np.sort(np.argsort(-z, kind="stable")[: min(MOST_WORDS, int((z >= LEAST_Z).sum()))])
-    x = np.zeros((n, STYLE + len(bins)))
+    x = np.zeros((n, STYLE + len(bins)), np.float32)
     x[:, :STYLE] = styles
-    at = np.searchsorted(bins, flat)
-    held = np.flatnonzero((at < len(bins)) & (bins[np.minimum(at, max(0, len(bins) - 1))] == flat)) if len(bins) else np.zeros(0, int)
-    x[row[held], STYLE + at[held]] = 1
+    for i, mine in enumerate(words):
+        x[i, STYLE + np.flatnonzero(np.isin(bins, mine, assume_unique=True))] = 1
     penalty = np.full(x.shape[1], ridge)
     penalty[STYLE - 1] = 1e-6  # the constant
     penalty[: STYLE - 1] = ridge / 100
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (good - p) - penalty * w
-        bend = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        slope, bend = x.T @ (good - p) - penalty * w, np.diag(penalty)
+        for at in range(0, n, 2048):  # a block of rows at a time: no second copy of all
+            part = x[at : at + 2048].astype(float)
+            bend += (part * np.maximum(p * (1 - p), 1e-6)[at : at + 2048, None]).T @ part
         step = np.linalg.solve(bend, slope)
         w += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -127,7 +128,7 @@ def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int
     return Model(w[:STYLE], bins, w[STYLE:], seed)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 20_000, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 12_000, seed: int = 7) -> Model:
     """A model fitted on at most ``max_labelled`` labelled documents; only their features reach the driver."""
     told = labels.where("quality IS NOT NULL").groupBy(F.col(key).alias("_id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
     chosen = told.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_labelled)  # the bound
@@ -137,10 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         found = list(features([(t or "").encode() for t in texts], Hasher(seed)))
         return [pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.astype(np.int32).tobytes() for _, w in found], pa.binary())]
 
-    made = append_columns(rows, ["_text"], [("style", "binary"), ("words", "binary")], compute).collect()
-    made.sort(key=lambda r: (str(r["_id"]), bytes(r["words"])))  # sums don't depend on the order in which tasks end
-    styles = np.array([np.frombuffer(r["style"], np.float64) for r in made]).reshape(len(made), STYLE)
-    return fit(styles, [np.frombuffer(r["words"], np.int32).astype(np.int64) for r in made], np.array([r["good"] for r in made], float), seed)
+    made = durable(append_columns(rows, ["_text"], [("style", "binary"), ("words", "binary")], compute))
+    # a partition at a time, in an order that doesn't depend on the tasks'
+    found = sorted((str(r["_id"]), bytes(r["words"]), bytes(r["style"]), r["good"]) for r in made.toLocalIterator())
+    styles = np.array([np.frombuffer(r[2], np.float64) for r in found]).reshape(len(found), STYLE)
+    return fit(styles, [np.frombuffer(r[1], np.int32) for r in found], np.array([r[3] for r in found], float), seed)
 
 
 def _logit(p):
