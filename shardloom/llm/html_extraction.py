@@ -66,6 +66,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 LEAST_PAGES = 3
+#: Bytes of templates, as text, that are sent to every executor instead of joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 DEPTH = 12
 
 
@@ -257,7 +259,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
     known = durable(templates(rows))
-    met = rows.join(known, "host", "left")
+    size = known.agg(F.sum(F.octet_length("host") + F.octet_length(F.to_json("template")))).first()[0] or 0
+    # few hosts: pages stay where they are; else a hot host's partition is split by the adaptive join
+    met = rows.join(F.broadcast(known) if size <= MOST_BROADCAST else known, "host", "left")
 
     def compute(texts: list[str | None], found: list[list[dict] | None]) -> list[pa.Array]:
         out = [main_text(t, f) for t, f in zip(texts, found, strict=True)]
