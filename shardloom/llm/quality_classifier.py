@@ -40,7 +40,7 @@ BINS, MOST_WORDS = 1 << 18, 512
 STYLE = 12
 #: Bytes of a word's beginnings that count beside the word.
 PREFIXES = (4, 5, 6)
-#: A word's log odds must be this many standard errors from 0, in this many documents.
+#: What a word explains must be this many standard errors from 0, in this many documents.
 LEAST_Z, LEAST_DOCS = 2.5, 5
 
 _KIND = np.zeros(256, np.uint8)  # 1 upper case, 2 lower case, 3 digit, 4 symbol, 5 exclamation
@@ -94,37 +94,42 @@ class Model:
         return np.array(out)
 
 
-def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int, ridge: float = 1.0, rounds: int = 25) -> Model:
-    """Ridge logistic regression by Newton steps, on the words whose log odds stand out."""
-    n, n_good = len(good), int(good.sum())
-    if not 0 < n_good < n:
-        return Model(np.zeros(STYLE), np.zeros(0, np.int64), np.zeros(0), seed)
-    counts = np.zeros((2, BINS))
-    for mine, label in zip(words, good, strict=True):  # a text's bins differ
-        counts[int(label), mine] += 1
-    in_bad, in_good = counts
-    odds = np.log((in_good + 0.5) / (n_good - in_good + 0.5)) - np.log((in_bad + 0.5) / (n - n_good - in_bad + 0.5))
-    error = np.sqrt(1 / (in_good + 0.5) + 1 / (in_bad + 0.5) + 1 / (n_good - in_good + 0.5) + 1 / (n - n_good - in_bad + 0.5))
-    z = np.where(in_good + in_bad >= LEAST_DOCS, np.abs(odds / error), 0)
-    bins = np.sort(np.argsort(-z, kind="stable")[: min(MOST_WORDS, int((z >= LEAST_Z).sum()))])
-    x = np.zeros((n, STYLE + len(bins)), np.float32)
-    x[:, :STYLE] = styles
-    for i, mine in enumerate(words):
-        x[i, STYLE + np.flatnonzero(np.isin(bins, mine, assume_unique=True))] = 1
-    penalty = np.full(x.shape[1], ridge)
-    penalty[STYLE - 1] = 1e-6  # the constant
-    penalty[: STYLE - 1] = ridge / 100
+def _newton(x: np.ndarray, good: np.ndarray, penalty: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope, bend = x.T @ (good - p) - penalty * w, np.diag(penalty)
-        for at in range(0, n, 2048):  # a block of rows at a time: no second copy of all
+        for at in range(0, len(x), 2048):  # a block of rows at a time: no second copy of all
             part = x[at : at + 2048].astype(float)
             bend += (part * np.maximum(p * (1 - p), 1e-6)[at : at + 2048, None]).T @ part
         step = np.linalg.solve(bend, slope)
         w += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
+    return w
+
+
+def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int, ridge: float = 1.0) -> Model:
+    """A regression on the style, then on the style and the words that explain most of what it left (by the score test)."""
+    n, n_good = len(good), int(good.sum())
+    if not 0 < n_good < n:
+        return Model(np.zeros(STYLE), np.zeros(0, np.int64), np.zeros(0), seed)
+    penalty = np.full(STYLE, ridge / 100)
+    penalty[-1] = 1e-6  # the constant
+    p = 1 / (1 + np.exp(-np.clip(styles @ _newton(styles, good, penalty), -30, 30)))
+    count, left, spread = np.zeros((3, BINS))
+    for mine, y, q in zip(words, good, p, strict=True):  # a text's bins differ
+        count[mine] += 1
+        left[mine] += y - q
+        spread[mine] += q * (1 - q)
+    z = np.where(count >= LEAST_DOCS, np.abs(left) / np.sqrt(spread + 0.05), 0)
+    bins = np.sort(np.argsort(-z, kind="stable")[: min(MOST_WORDS, int((z >= LEAST_Z).sum()))])
+    x = np.zeros((n, STYLE + len(bins)), np.float32)
+    x[:, :STYLE] = styles
+    for i, mine in enumerate(words):
+        x[i, STYLE + np.flatnonzero(np.isin(bins, mine, assume_unique=True))] = 1
+    w = _newton(x, good, np.concatenate((penalty, np.full(len(bins), ridge))))
     return Model(w[:STYLE], bins, w[STYLE:], seed)
 
 
