@@ -26,8 +26,10 @@ empty table work; extra columns pass through, except those named as results.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from functools import cached_property
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -40,7 +42,7 @@ from .common import append_columns
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 #: Words kept by a worker, and the longest that is.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+KEPT_WORDS, KEPT_LENGTH = 400_000, 64
 
 
 class Vocabulary:
@@ -62,7 +64,7 @@ class Vocabulary:
         return cls([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], byte_ids, model.unk_id(), special)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "table", "kept")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "single", "worst", "table", "kept")}
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
@@ -74,6 +76,11 @@ class Vocabulary:
         made.make_automaton()
         return made
 
+    @cached_property
+    def single(self) -> frozenset[str]:
+        """Characters that are pieces."""
+        return frozenset(p for p, _ in self.automaton.items() if len(p) == 1)
+
     @cached_property
     def worst(self) -> float:
         skipped = self.special | set(self.byte_ids.values())
@@ -94,6 +101,23 @@ class Vocabulary:
 
     def viterbi(self, word: str) -> list[int]:
         """The ids with the best sum of scores for a text with space marks."""
+        if not self.single.issuperset(word):
+            return self._viterbi_with_unknown(word)
+        # every position can be reached; pieces come by their end, the longest first
+        best, back = [0.0] + [-inf] * len(word), [None] * (len(word) + 1)
+        for end, piece in self.automaton.iter(word):
+            total = best[end + 1 - piece[0]] + piece[2]
+            if total > best[end + 1]:
+                best[end + 1], back[end + 1] = total, piece
+        out, at = [], len(word)
+        while at:
+            size, i, _ = back[at]
+            out.append(i)
+            at -= size
+        out.reverse()
+        return out
+
+    def _viterbi_with_unknown(self, word: str) -> list[int]:
         n = len(word)
         best, back = [0.0] + [None] * n, [(0, 0)] * (n + 1)
         ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
@@ -122,7 +146,7 @@ class Vocabulary:
         """The ids of a text with space marks, as 32-bit integers."""
         ids = self.kept.get(word)
         if ids is None:
-            ids = np.array(self.viterbi(word), np.int32).tobytes()
+            ids = array("i", self.viterbi(word)).tobytes()
             if len(word) <= KEPT_LENGTH:
                 if len(self.kept) >= KEPT_WORDS:
                     self.kept.clear()
