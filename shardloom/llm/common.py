@@ -125,6 +125,17 @@ def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield begin, len(sizes)
 
 
+#: Rows of an Arrow batch that are turned into Python objects at once.
+SLICE_ROWS = 512
+
+
+def sliced(batches: Iterator) -> Iterator:
+    """The batches in short slices, without a copy: a worker's objects don't grow with Spark's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], compute, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (else all but ``inputs``) as they are, and the columns that ``compute(*lists of inputs)`` returns as Arrow arrays.
 
@@ -136,7 +147,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str
     kept = keep if keep is not None else [c for c in df.columns if c not in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = compute(*[batch.column(c).to_pylist() for c in inputs])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=[*kept, *[f[0] for f in fields]])
 

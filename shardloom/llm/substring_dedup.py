@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hasher, chunks, discard, scratch, split_words
+from .common import Hasher, discard, scratch, sliced, split_words
 
 ENTRY, HIT, ALIAS, RUN = 0, 1, 2, 3
 #: Columns of packed rows: a place is a document, its tag and a word's position.
@@ -61,9 +61,9 @@ SPAN = [*KINDS[HIT], ("len", "<u4")]
 REQUEST = [("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("len", "<u4")]
 ROWS = "kind int, key int, blob binary"
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bytes of text for each hash bucket; the buckets' number is a power of two within these.
-BUCKET_BYTES, BUCKETS = 4 << 20, (64, 1 << 16)
+BUCKET_BYTES, BUCKETS = 2 << 20, (64, 1 << 16)
 
 Columns = dict[str, np.ndarray]
 
@@ -157,22 +157,21 @@ class Plan:
 
     def first_step(self, docs: list[int], texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         """Entries for the buckets; repeats and windows that a document has twice, for the shards."""
-        for begin, end in chunks([len(t) for t in texts], CHUNK):
-            table = self.windows(docs[begin:end], texts[begin:end])
-            table = take(table, np.argsort(table["hash"], kind="stable"))
-            lead = np.ones(len(table["hash"]), bool)
-            lead[1:] = table["hash"][1:] != table["hash"][:-1]
-            first = take(table, np.flatnonzero(lead)[np.cumsum(lead) - 1]) if len(lead) else table
-            later = (table["doc"] > first["doc"]) & ~lead
-            # of the leader's own document: settled with it. Another text of one id is judged apart.
-            twin = (table["doc"] == first["doc"]) & (table["tag"] == first["tag"]) & ~lead
-            apart = (table["doc"] == first["doc"]) & (table["tag"] != first["tag"])
-            sent = np.flatnonzero(lead | apart)
-            yield from _dealt(take(table, sent), ENTRY, (table["hash"][sent] >> self.shift).astype(np.int64), 0)
-            hits = take(table, np.flatnonzero(later)) | {"s" + n: first[n][later] for n, _ in PLACE}
-            yield from _dealt(hits, HIT, self.shard(hits["doc"]), self.buckets)
-            twins = take(table, np.flatnonzero(twin)) | {"first": first["pos"][twin]}
-            yield from _dealt(twins, ALIAS, self.shard(twins["doc"]), self.buckets)
+        table = self.windows(docs, texts)
+        table = take(table, np.argsort(table["hash"], kind="stable"))
+        lead = np.ones(len(table["hash"]), bool)
+        lead[1:] = table["hash"][1:] != table["hash"][:-1]
+        first = take(table, np.flatnonzero(lead)[np.cumsum(lead) - 1]) if len(lead) else table
+        later = (table["doc"] > first["doc"]) & ~lead
+        # of the leader's own document: settled with it. Another text of one id is judged apart.
+        twin = (table["doc"] == first["doc"]) & (table["tag"] == first["tag"]) & ~lead
+        apart = (table["doc"] == first["doc"]) & (table["tag"] != first["tag"])
+        sent = np.flatnonzero(lead | apart)
+        yield from _dealt(take(table, sent), ENTRY, (table["hash"][sent] >> self.shift).astype(np.int64), 0)
+        hits = take(table, np.flatnonzero(later)) | {"s" + n: first[n][later] for n, _ in PLACE}
+        yield from _dealt(hits, HIT, self.shard(hits["doc"]), self.buckets)
+        twins = take(table, np.flatnonzero(twin)) | {"first": first["pos"][twin]}
+        yield from _dealt(twins, ALIAS, self.shard(twins["doc"]), self.buckets)
 
     def merge(self, fresh: Columns, held: Columns) -> tuple[Columns, Columns]:
         """The repeats among ``fresh``, and the first place of every hash that is new."""
@@ -234,6 +233,11 @@ class Plan:
             yield 1, key, blob
 
 
+def _batch(rows: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kind, key, blob = zip(*rows) if (rows := list(rows)) else ((), (), ())  # noqa: B905
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int32()), pa.array(blob, pa.binary())], names=["kind", "key", "blob"])
+
+
 def _frame(rows: Iterator[tuple[int, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["kind", "key", "blob"])
 
@@ -265,7 +269,7 @@ def _clean(plan: Plan, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, blobs, asked, spans, requests = None, [], [], None, None
-        for batch in batches:
+        for batch in sliced(batches):
             seen: set[tuple] = set()
             keep, made, texts = [], [], []
             column = {n: batch.column(n) for n in batch.schema.names}
@@ -335,11 +339,18 @@ class WindowIndex:
         """Judge a batch (columns _doc, _text) against the runs and itself, and take it in; returns packed repeats."""
         plan = self.plan
 
-        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                texts = [(t or "").encode() for t in batch.column("_text").to_pylist()]
-                out: list[tuple[int, int, bytes]] = list(plan.first_step(batch.column("_doc").to_pylist(), texts))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["kind", "key", "blob"])
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            docs, texts, size = [], [], 0
+            for batch in sliced(batches):
+                for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                    docs.append(doc)
+                    texts.append((text or "").encode())
+                    size += len(texts[-1])
+                    if size >= CHUNK:
+                        yield _batch(plan.first_step(docs, texts))
+                        docs, texts, size = [], [], 0
+            if docs:
+                yield _batch(plan.first_step(docs, texts))
 
         fresh = docs.where(F.col("_doc").isNotNull()).select("_doc", "_text").mapInArrow(first, ROWS)
         held = self.held()
