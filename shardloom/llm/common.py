@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +23,8 @@ CHUNK_BYTES = 2 << 20
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = 1 << 16
+#: A struct's last field, for tables without other columns.
+_NOTHING = "__nothing"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +63,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, left_out: Iterable[str]) -> Column:
+    """All columns but some as one struct, so that no name of theirs meets one of an operator's own."""
+    left_out = set(left_out)
+    return F.struct(*[named(c) for c in df.columns if c not in left_out], F.lit(None).cast("boolean").alias(_NOTHING))
+
+
+def unpacked(column: str, df: DataFrame, left_out: Iterable[str]) -> list[Column]:
+    left_out = set(left_out)
+    return [F.col(column).getField(c).alias(c) for c in df.columns if c not in left_out]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), in place on a copy."""
     x = x ^ (x >> np.uint64(30))

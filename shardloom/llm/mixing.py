@@ -5,7 +5,7 @@ its supply (tokens times the most epochs). What a child can't use goes to its
 siblings; only what a whole family can't use goes to the family's own
 siblings, because a family's supply is its children's. A leaf with budget for
 several epochs takes whole ones, and of the last the prefix of a seeded order:
-documents, in the order of their hash with the seed and the epoch, as long as
+documents, in the order of their MD5 with the seed and the epoch, as long as
 their tokens fit.
 
 The prefix is found without sorting a leaf: tokens are summed by leaf and by
@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, durable
+from .common import WORD, durable, packed, unpacked
 
-#: Hash ranges to a leaf.
-RANGES_BITS = 12
+#: Hexadecimal digits that name a hash range: 4,096 ranges to a leaf.
+RANGE_DIGITS = 3
 #: Leaves that a tree may have: the tree is a setting, not data.
 MOST_LEAVES = 100_000
 
@@ -105,8 +105,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, fl
         return df.join(other, met).drop(*[other[n] for n in names])
 
     def place(df: DataFrame, k: str) -> DataFrame:
-        order = F.xxhash64(F.lit(seed), F.col("_whole"), F.col(k))
-        return df.withColumn("_order", order).withColumn("_range", F.shiftrightunsigned("_order", 64 - RANGES_BITS))
+        order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.col(k).cast("string")))
+        return df.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS))
 
     placed = place(at_leaf(rows, leaf), "_key")
     running = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,12 +119,11 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, fl
     last = fits.groupBy(*names).agg(F.max(F.struct("_order", "_key")).alias("_last"))
     ends = durable(cut.alias("c").join(last.alias("l"), [F.col(f"c.{n}").eqNullSafe(F.col(f"l.{n}")) for n in names], "left").select(*[F.col(f"c.{n}").alias(n) for n in names], "_cut", "_last"))
 
-    kept = [c for c in docs.columns if c != "epoch"]
-    whole = docs.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), F.col(key).alias("_key"), *value)
+    whole = docs.select(packed(docs, ["epoch"]).alias("_row"), F.col(key).alias("_key"), *value)
     whole = place(at_leaf(whole, leaf), "_key")
     met = [whole[n].eqNullSafe(ends[n]) for n in names]
     whole = whole.join(F.broadcast(ends), met, "left")
     mine = F.struct("_order", F.col("_key"))
     inside = F.col("_cut").isNull() | (F.col("_range") < F.col("_cut")) | ((F.col("_range") == F.col("_cut")) & F.coalesce(mine <= F.col("_last"), F.lit(False)))
     times = F.col("_whole").cast("int") + F.when(inside & (F.col("_rest") > 0), 1).otherwise(0)
-    return whole.withColumn("_times", times).where("_times > 0").select("_row.*", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))
+    return whole.withColumn("_times", times).where("_times > 0").select(*unpacked("_row", docs, ["epoch"]), F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns
+from .common import append_columns, packed, unpacked
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
@@ -178,8 +178,7 @@ class Vocabulary:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without the column ``text``, with n_tokens, ids, and round_trip: whether the ids decode to the text."""
-    results = ("n_tokens", "ids", "round_trip")
-    kept = [c for c in docs.columns if c != text and c not in results]
+    results = ["n_tokens", "ids", "round_trip"]
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary's size doesn't depend on the data
 
     def compute(texts: list[str | None]) -> list[pa.Array]:
@@ -191,8 +190,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
         same = [v.decode_bytes(np.frombuffer(p, np.int32).tolist()) == (t or "").encode() for p, t in zip(packed, texts, strict=True)]
         return [pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())), pa.array(same, pa.bool_())]
 
-    body = docs.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias("_text"))
-    return append_columns(body, ["_text"], [("n_tokens", "long"), ("ids", "array<int>"), ("round_trip", "boolean")], compute)
+    body = docs.select(packed(docs, [text, *results]).alias("_row"), F.col(text).cast("string").alias("_text"))
+    made = append_columns(body, ["_text"], [("n_tokens", "long"), ("ids", "array<int>"), ("round_trip", "boolean")], compute)
+    return made.select(*unpacked("_row", docs, [text, *results]), *results)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
@@ -202,4 +202,5 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFra
     def compute(lists: list[list[int] | None]) -> list[pa.Array]:
         return [pa.array([None if x is None else held.value.decode(x) for x in lists], pa.string())]
 
-    return append_columns(rows.select(*[c for c in rows.columns if c != "text"]), [ids], [("text", "string")], compute)
+    body = rows.select(packed(rows, [ids, "text"]).alias("_row"), F.col(ids).alias("_ids"))
+    return append_columns(body, ["_ids"], [("text", "string")], compute).select(*unpacked("_row", rows, [ids, "text"]), "text")

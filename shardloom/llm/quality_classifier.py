@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, append_columns, chunks, durable, mix64, scratch, split_words
+from .common import Hasher, append_columns, chunks, durable, mix64, packed, scratch, split_words, unpacked
 
 #: Bins that words are hashed to, and the most of them that the model has weights for.
 BINS, MOST_WORDS = 1 << 18, 512
@@ -188,8 +188,8 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
     """
     spark = docs.sparkSession
     results = ["evidence", "site_rate", "posterior", "kept"]
-    row = F.struct(*[F.col(c) for c in docs.columns if c not in results and (with_rows or c != text)])
-    rows = docs.select(row.alias("_row"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("_text"))
+    left_out = results if with_rows else [text, *results]
+    rows = docs.select(packed(docs, left_out).alias("_row"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("_text"))
     scored = append_columns(rows, ["_text"], [("evidence", "double")], lambda texts: [pa.array(model.score(texts), pa.float64())])
     if with_rows:
         at = scratch(spark, "scored")
@@ -200,4 +200,4 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
     sites = durable(site_posteriors(scored.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p"))))
     met = scored.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
     odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
-    return met.select("d._row.*", "evidence", F.col("path_rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("posterior")).withColumn("kept", F.col("posterior") >= threshold)
+    return met.select(*unpacked("d._row", docs, left_out), "evidence", F.col("path_rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("posterior")).withColumn("kept", F.col("posterior") >= threshold)

@@ -87,5 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_simhash, op2_quality_classifier, op3_html_extraction, op4_url_filter, op5_sharding, op6_substring_dedup, op7_topk, op8_sentencepiece, op9_quality_rules, op10_mixing)
 }
-
-ORACLES: dict[str, str] = {}

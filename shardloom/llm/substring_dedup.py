@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hasher, discard, scratch, sliced, split_words
+from .common import Hasher, discard, packed, scratch, sliced, split_words, unpacked
 
 ENTRY, HIT, ALIAS, RUN = 0, 1, 2, 3
 #: Columns of packed rows: a place is a document, its tag and a word's position.
@@ -448,8 +448,7 @@ def deduplicate(docs: DataFrame, k: int = 13, batches: int = 2, text: str = "tex
     is the text itself where nothing is removed, else the kept words joined by
     a space; kept_sha256 is always of the kept words.
     """
-    rest = F.struct(*[F.col(c) for c in docs.columns if c != text and c not in OUT])
-    rows = docs.select(rest.alias("_rest"), F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("_doc"))
+    rows = docs.select(packed(docs, [text, *OUT]).alias("_rest"), F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("_doc"))
     body = F.coalesce(F.col("_text"), F.lit(""))
     each = rows.select("_doc", F.octet_length(body).alias("n"), F.crc32(F.encode(body, "UTF-8")).alias("crc"))
     each = each.groupBy("_doc").agg(F.sum("n").alias("n"), F.min("crc").alias("lo"), F.max("crc").alias("hi"))
@@ -471,7 +470,7 @@ def deduplicate(docs: DataFrame, k: int = 13, batches: int = 2, text: str = "tex
         told = told.agg(F.min("_digest").alias("lo"), F.max("_digest").alias("hi"), F.bool_and("_asked").alias("alone"))
         bad = [tuple(r) for r in told.where("lo <> hi OR alone").select("_sdoc", "_stag", "_spos", "_len").limit(MOST_FAILED + 1).collect()]
         if not bad:
-            return result.where("_digest IS NULL").select("_rest.*", *OUT[: 3 + with_text])
+            return result.where("_digest IS NULL").select(*unpacked("_rest", docs, [text, *OUT]), *OUT[: 3 + with_text])
         if len(bad) > MOST_FAILED:
             raise RuntimeError("too many windows share a hash with others; choose another seed")
         discard(spark, result.inputFiles()[0].rsplit("/", 1)[0])

@@ -33,6 +33,8 @@ from .common import durable
 
 #: Vectors to a block, and dimensions added between two looks at the bounds.
 BLOCK, STEP = 2048, 16
+#: Candidate blocks that a task holds, about.
+HELD = 16
 
 
 def quantise(values: Column) -> Column:
@@ -61,8 +63,14 @@ def _pack(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
     return pack
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, grid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k best of one block for each query; grids are dimensions x vectors."""
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, grid: np.ndarray, k: int, floor: np.ndarray | float = -np.inf) -> Found:
+    """(query row, id, score) of the k best of one block for each query; grids are dimensions x vectors.
+
+    floor: of each query, a score that k others are known to reach.
+    """
     width = min(len(queries), len(grid))
     queries, grid = queries[:width], grid[:width]
     order = np.argsort(-(np.square(grid).sum(1) * np.square(queries).sum(1)), kind="stable")
@@ -77,7 +85,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, gr
             continue
         mass = np.sqrt(np.square(queries[rest]).sum(0))[:, None] * np.sqrt(np.square(grid[rest]).sum(0))[None, :]
         mass *= 1 + 1e-9
-        worst = np.partition(scores - mass, scores.shape[1] - k, axis=1)[:, -k]
+        worst = np.maximum(np.partition(scores - mass, scores.shape[1] - k, axis=1)[:, -k], floor)
         alive = ((scores + mass) >= worst[:, None]).any(0)
         if alive.mean() < 0.9:
             ids_left, scores, grid = ids_left[alive], scores[:, alive], grid[:, alive]
@@ -95,6 +103,28 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, gr
     return np.array(rows), np.concatenate(found), np.concatenate(best).astype(np.int64)
 
 
+def best_of(parts: list[Found], k: int) -> Found:
+    """The k best of each query row: highest score, then smallest id."""
+    q, found, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((found, -score, q))
+    q, found, score = q[order], found[order], score[order]
+    begin = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    keep = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q)))) < k
+    return q[keep], found[keep], score[keep]
+
+
+def search_blocks(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> Found:
+    """The same over several blocks; what the first have found bounds the search of the next."""
+    nothing = np.zeros(0, np.int64)
+    best, floor = (nothing, nothing, nothing), np.full(len(query_ids), -np.inf)
+    for ids, grid in blocks:
+        best = best_of([best, search_block(query_ids, queries, ids, grid, k, floor)], k)
+        count = np.bincount(best[0], minlength=len(query_ids))
+        last = np.cumsum(count) - 1
+        floor = np.where(count == k, best[2][last] if len(best[2]) else -np.inf, -np.inf)
+    return best
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest others by integer inner product of the quantised vectors."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), is_query.alias("q"))
@@ -105,7 +135,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vector: str = "embedding
     )
     candidates, queries = packed.where("kind = 'c'"), packed.where("kind = 'q'")
     # groups of candidate blocks; every query block goes to each group once
-    groups = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), candidates.count()))
+    blocks = candidates.count()
+    groups = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks), blocks // HELD)
     dealt = candidates.select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("grp"), "kind", "width", "ids", "grid").unionAll(
         queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "kind", "width", "ids", "grid")
     )
@@ -122,9 +153,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vector: str = "embedding
                 if kind == "c":
                     held.append(block)
                     continue
-                for other in held:
-                    q, found, score = search_block(*block, *other, k)
-                    yield pd.DataFrame({"query_id": names[q] if len(q) else q, "vec_id": found, "score": score})
+                q, found, score = search_blocks(*block, held, k)
+                yield pd.DataFrame({"query_id": names[q], "vec_id": found, "score": score})
 
     local = dealt.repartition(groups, "grp").sortWithinPartitions("grp", "kind").mapInPandas(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -339,7 +339,8 @@ def test_branch_and_bound_equals_brute_force(monkeypatch):
         grid = np.floor(rng.normal(0, 60, (width, n)) * np.geomspace(8, 0.1, width)[:, None] if width else np.zeros((0, n)))
         ids = rng.permutation(n)
         queries_at = np.arange(0, n, 17)
-        q, found, score = topk.search_block(ids[queries_at], grid[:, queries_at], ids, grid, 5)
+        parts = [(ids[at : at + 60], grid[:, at : at + 60]) for at in range(0, n, 60)]
+        q, found, score = topk.search_blocks(ids[queries_at], grid[:, queries_at], parts, 5)
         for row, at in enumerate(queries_at):
             s = grid.T @ grid[:, at]
             best = sorted((-int(s[i]), int(ids[i])) for i in range(n) if i != at)[:5]
@@ -476,8 +477,7 @@ def test_mixing(spark, sf, docs):
     for i in docs:
         supply[leaf[i]] += tokens[i]
     plan = mixing.budgets(sum(supply.values()) * 4 // 5, supply, queries.WEIGHTS, 4)
-    rows = [(i, plan[leaf[i]] // supply[leaf[i]]) for i in docs]
-    order = dict(map(tuple, spark.createDataFrame(rows, "d long, w long").select("d", F.xxhash64(F.lit(11), "w", "d")).collect()))
+    order = {i: hashlib.md5(f"11:{plan[leaf[i]] // supply[leaf[i]]}:{i}".encode()).hexdigest() for i in docs}
     expected = Counter()
     for at, budget in plan.items():
         whole, rest = divmod(budget, supply[at])
@@ -485,7 +485,7 @@ def test_mixing(spark, sf, docs):
         for i in own:
             expected[i] += whole
         total = 0
-        for i in sorted(own, key=lambda i: ((order[i] % 2**64) >> (64 - mixing.RANGES_BITS), order[i], i)):
+        for i in sorted(own, key=order.get):
             total += tokens[i]
             if total > rest or not rest:
                 break
