@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import mixing, pieces, quality_classifier, queries, simhash, substring_dedup
-from shardloom.llm.common import read, scratch
+from shardloom.llm.common import durable, read, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,10 +22,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows without an id stay."""
-    groups = simhash.components(docs)
+    """The document with the smallest id of each group of near-duplicates.
+
+    Rows that share an id are one document, of which the smallest row stays;
+    rows without an id stay.
+    """
+    groups = durable(simhash.components(docs))  # narrow
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    twice = durable(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
