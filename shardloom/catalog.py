@@ -16,7 +16,7 @@ from . import fixtures as fx
 from . import presets as pr
 from .functions import hashing, naming
 from .operators import ledger, routing, scan
-from .plans import planner, progress, state
+from .plans import extensions, planner, progress, state
 from .sources import state_store
 from .sources.shards import source_union as union_of_shards
 from .sources.workspace import workspace
@@ -439,9 +439,39 @@ def verify_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.verify_ready(rows, True, fx.STATUSES.df(spark), ["db3", "db4"]).select("event_id", "target_db", "month", "verify_ready")
 
 
+_PLAIN_INDEXES = "(SELECT 'orders' AS table_name, unnest(['idx_orders_verify_created_at', 'idx_orders_verify_created_at_id']) AS index_name)"
+
+
+@query(f"SELECT table_name, target_db, CAST(NULL AS VARCHAR) AS month, array_to_string(list_sort(list(index_name)), ',') AS index_names, CASE WHEN target_db = 'db4' THEN 'FAILED' ELSE 'CREATED' END AS status FROM {_PLAIN_INDEXES}, (VALUES ('db3'), ('db4')) v(target_db) GROUP BY ALL")
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = naming.index_statements(F.col("table_name"), F.lit("created_at"), F.lit("id"))
+    targets = spark.createDataFrame([("orders", "db3", None), ("orders", "db4", None)], "table_name string, target_db string, month string")
+    statements = targets.select("*", F.explode(made).alias("statement")).withColumn("index_name", naming.index_of(F.col("statement")))
+    failed = spark.createDataFrame([("db4", "idx_orders_verify_created_at_id")], "target_db string, index_name string")
+    return progress.index_status(statements, failed).withColumn("index_names", F.array_join("index_names", ","))
+
+
+@query(_with(fx.TABLES.cte()) + " SELECT table_name, target_db FROM tables_cfg, (VALUES ('db3'), ('db4')) v(target_db)")
+def all_index_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.all_index_targets(fx.TABLES.df(spark), spark.createDataFrame([("db3",), ("db4",)], "target_db string"))
+
+
+@query(_with(fx.TASKS.cte()) + " SELECT table_name, source_db, count(*) AS n_ranges, max(range_to) AS last_to, max(sequence_number) AS last_sequence FROM tasks WHERE status = 'COMPLETED' GROUP BY ALL")
+def completed_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.completed_scopes(fx.TASKS.df(spark))
+
+
 # ---- state
 
 
+@query(_with(fx.TASKS.cte(), fx.LOCKS.cte()) + """ SELECT t.task_id, CASE WHEN l.task_id IS NOT NULL AND t.status = 'RUNNING' THEN 'COMPLETED' ELSE t.status END AS status
+FROM tasks t LEFT JOIN locks l ON l.task_id = t.task_id AND l.generation = t.generation AND l.claim_token = t.claim_token""")
+def task_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = fx.TASKS.df(spark)
+    events = tasks.select("task_id", "generation", "claim_token", F.lit("COMPLETE").alias("event"))
+    return progress.apply_events(tasks, events, fx.LOCKS.df(spark)).select("task_id", "status")
+
+
 def _command_sql() -> str:
     return """ SELECT what, state, CASE WHEN what = 'START' THEN state IS NULL OR state NOT IN ('RUNNING', 'STOPPED') WHEN what = 'STOP' THEN coalesce(state = 'RUNNING', false) ELSE coalesce(state = 'STOPPED', false) END AS accepted,
 CASE WHEN what = 'START' AND state IS DISTINCT FROM 'STOPPED' THEN 'RUNNING' WHEN what = 'STOP' AND state = 'RUNNING' THEN 'STOPPED' WHEN what = 'RESUME' AND state = 'STOPPED' THEN 'RUNNING' ELSE state END AS status FROM commands"""
@@ -490,3 +520,32 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = incremental.arrivals(spark, sf_dir, schema, glob="events.parquet")
     incremental.run(stream, "m1", pr.EVENTS, pr.V1, pr.V2, f"{work}/data", f"{work}/ledger", f"{work}/checkpoint", [F.col("ts"), F.col("event_id")]).awaitTermination()
     return incremental.transferred(spark, f"{work}/data", f"{work}/ledger").select("shard_key_value", "ts", "event_type", "source_db", "target_db")
+
+
+# ---- beyond the reference
+
+
+@query(f"""WITH RECURSIVE {_routed(_ORDERS_KEYED)}, e AS (SELECT target_db, key_value FROM routed WHERE source_db <> target_db), f AS (SELECT target_db, key_value FROM e WHERE CAST(key_value AS BIGINT) % 7 <> 0)
+SELECT target_db, count(*) AS n_expected, count(*) FILTER (WHERE CAST(key_value AS BIGINT) % 7 <> 0) AS n_found, count(*) FILTER (WHERE CAST(key_value AS BIGINT) % 7 = 0) AS n_missing, CAST(0 AS BIGINT) AS n_unexpected FROM e GROUP BY target_db""")
+def ext_verify_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = routing.moved(_orders_routed(spark, sf_dir))
+    return extensions.verify(expected, expected.where("cast(key_value AS long) % 7 <> 0"))
+
+
+@query(f"WITH RECURSIVE {_routed(_ORDERS_KEYED)} SELECT o_orderkey, source_db FROM routed WHERE source_db = target_db")
+def ext_left_at_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = _orders_routed(spark, sf_dir)
+    held = routing.moved(routed).withColumns(ledger.ledger_key("m1", "orders"))
+    return extensions.left_at_source(routed, held).select("o_orderkey", "source_db")
+
+
+@query("SELECT CAST(o_orderkey // 1000 * 1000 AS BIGINT) AS from_id, count(*) AS n_rows, CAST(o_orderkey // 1000 * 1000 + 1000 AS BIGINT) AS to_id FROM orders GROUP BY ALL")
+def ext_key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.key_ranges(table(spark, sf_dir, "orders"), "o_orderkey", 1000)
+
+
+@query(_with(fx.TASKS.cte(), fx.LIMITS.cte()) + """, p AS (SELECT t.task_id, t.sequence_number, v.target_db, row_number() OVER (PARTITION BY v.target_db ORDER BY sequence_number, task_id) AS rn FROM tasks t, (VALUES ('db3'), ('db4')) v(target_db) WHERE status <> 'COMPLETED')
+SELECT target_db, lpad(CAST(rn AS VARCHAR), 3, '0') AS slot, task_id FROM p JOIN limits l ON l.source_db = p.target_db WHERE rn <= max_source""")
+def ext_target_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = planner.active(fx.TASKS.df(spark)).withColumn("target_db", F.explode(F.array(F.lit("db3"), F.lit("db4"))))
+    return extensions.target_slots(pairs, fx.LIMITS.df(spark))

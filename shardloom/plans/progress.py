@@ -78,3 +78,30 @@ def verify_ready(moved: DataFrame, partitioned: bool, statuses: DataFrame, new_s
         return moved.withColumn("verify_ready", F.lit(True))
     made = statuses.where("status = 'CREATED'").select("table_name", "target_db", "month", F.lit(True).alias("_made")).distinct()
     return moved.join(made, ["table_name", "target_db", "month"], "left").withColumn("verify_ready", ~fresh | F.coalesce("_made", F.lit(False))).drop("_made")
+
+
+def all_index_targets(tables: DataFrame, new_shards: DataFrame) -> DataFrame:
+    """Every table on every new shard."""
+    return tables.select("table_name").crossJoin(new_shards.select("target_db"))
+
+
+def index_status(statements: DataFrame, failed: DataFrame) -> DataFrame:
+    """Of each (table_name, target_db, month): the indexes' names, and CREATED or, if any of them failed, FAILED."""
+    tried = statements.join(failed.select("target_db", "index_name", F.lit(True).alias("_failed")).distinct(), ["target_db", "index_name"], "left")
+    state = F.when(F.bool_or(F.coalesce("_failed", F.lit(False))), "FAILED").otherwise("CREATED")
+    return tried.groupBy("table_name", "target_db", "month").agg(F.sort_array(F.collect_set("index_name")).alias("index_names"), state.alias("status"))
+
+
+def completed_scopes(tasks: DataFrame) -> DataFrame:
+    """Of each (table_name, source_db): completed ranges, the last one's end, and the highest sequence number."""
+    done = tasks.where("status = 'COMPLETED'")
+    return done.groupBy(*SCOPE).agg(F.count("*").alias("n_ranges"), F.max("range_to").alias("last_to"), F.max("sequence_number").alias("last_sequence"))
+
+
+def apply_events(tasks: DataFrame, events: DataFrame, locks: DataFrame) -> DataFrame:
+    """Tasks after events (task_id, generation, claim_token, event) by their owners; others' events change nothing."""
+    from .state import task_after
+
+    mine = fenced(events, locks).select("task_id", "event")
+    met = tasks.join(mine, "task_id", "left")
+    return met.withColumn("status", F.when(F.col("event").isNull(), F.col("status")).otherwise(task_after(F.col("event"), F.col("status")))).drop("event")

@@ -334,3 +334,53 @@ def test_stream_equals_batch_over_several_runs(spark, sf, tmp_path):
     keys = routing.moved(routing.route(events, pr.EVENTS, pr.V1, pr.V2)).select("key_value").distinct().count()
     done = incremental.transferred(spark, args[4], args[5])
     assert done.count() == done.select("shard_key_value").distinct().count() == keys
+
+
+# ---- whole moves
+
+
+def bulk(spark, sf, path, ident="m1"):
+    from shardloom.engine import BulkMove
+
+    events = spec.TableSpec("events", pr.EVENTS.shard_key, range_column="ts", id_column="event_id")
+    move = spec.Move(ident, pr.V1, pr.V2, datetime(1995, 1, 1), datetime(2025, 1, 1), (pr.ORDERS, events))
+    return BulkMove(spark, move, {"orders": spark.read.parquet(f"{sf}/orders.parquet"), "events": spark.read.parquet(f"{sf}/events.parquet")}, path)
+
+
+def test_bulk_move(spark, sf, tmp_path):
+    job = bulk(spark, sf, f"file://{tmp_path}/out")
+    report = {(r.table_name, r.source_db, r.target_db): r.n_rows for r in job.run().collect()}
+    assert job.complete() and not job.state.exists(job.LOCK)
+    matrix = routing.moved(routing.route(spark.read.parquet(f"{sf}/orders.parquet"), pr.ORDERS, pr.V1, pr.V2)).groupBy("source_db", "target_db").count().collect()
+    assert {k[1:]: n for k, n in report.items() if k[0] == "orders"} == {(r[0], r[1]): r[2] for r in matrix}
+    keys = routing.moved(routing.route(spark.read.parquet(f"{sf}/events.parquet"), pr.EVENTS, pr.V1, pr.V2)).select("key_value").distinct().count()
+    assert sum(n for k, n in report.items() if k[0] == "events") == keys  # the first of a key wins
+    again = {(r.table_name, r.source_db, r.target_db): r.n_rows for r in bulk(spark, sf, f"file://{tmp_path}/out").run().collect()}
+    assert again == report
+
+
+def test_bulk_move_goes_on_after_a_break(spark, sf, tmp_path, monkeypatch):
+    import shardloom.engine as engine
+
+    job, honest, calls = bulk(spark, sf, f"file://{tmp_path}/out"), engine.commit, []
+
+    def breaks(*args):
+        calls.append(args[1])
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        honest(*args)
+
+    monkeypatch.setattr(engine, "commit", breaks)
+    with pytest.raises(RuntimeError):
+        job.run()
+    assert not job.complete()
+    with pytest.raises(RuntimeError):
+        bulk(spark, sf, f"file://{tmp_path}/out", "other").start()
+    bulk(spark, sf, f"file://{tmp_path}/out").run()
+    assert calls == [0, 1, 1] and job.complete()
+
+
+def test_move_id():
+    from shardloom.engine import move_id
+
+    assert move_id(T0).startswith("mig-20240101-") and len(move_id(T0)) == 25
