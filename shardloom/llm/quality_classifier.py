@@ -43,6 +43,9 @@ PREFIXES = (4, 5, 6)
 #: What a word explains must be this many standard errors from 0, in this many documents.
 LEAST_Z, LEAST_DOCS = 2.5, 5
 
+#: Sites that are sent to every executor instead of joined by a shuffle.
+MOST_BROADCAST = 100_000
+
 _KIND = np.zeros(256, np.uint8)  # 1 upper case, 2 lower case, 3 digit, 4 symbol, 5 exclamation
 for _chars, _k in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"abcdefghijklmnopqrstuvwxyz", 2), (b"0123456789", 3), (b"#*$%&|<>@^~_=+\\/{}[]", 4), (b"!?", 5)):
     _KIND[list(_chars)] = _k
@@ -198,6 +201,8 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
     else:
         scored = durable(scored)
     sites = durable(site_posteriors(scored.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p"))))
-    met = scored.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
+    few = sites.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    # few sites: documents stay where they are; else a hot site's partition is split by the adaptive join
+    met = scored.alias("d").join((F.broadcast(sites) if few else sites).alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
     odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
     return met.select(*unpacked("d._row", docs, left_out), "evidence", F.col("path_rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("posterior")).withColumn("kept", F.col("posterior") >= threshold)
