@@ -45,6 +45,15 @@ ends AS (SELECT n, max(b) FILTER (WHERE m = {queries.SHARDS}) AS shard, max(b) F
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size, n) - 1 AS BIGINT) AS slot, CAST(grown AS INTEGER) AS grown_shard
 FROM sums JOIN ends USING (n)"""
 
+SUBSTRING_DEDUP = f"""WITH docs AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+windows AS (SELECT n, doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT n, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+repeats AS (SELECT n, i FROM windows JOIN firsts USING (k) WHERE doc_id > first),
+covered AS (SELECT DISTINCT n, p FROM (SELECT n, unnest(generate_series(i, i + 12)) AS p FROM repeats)),
+removed AS (SELECT n, count(*) AS c FROM covered GROUP BY n),
+kept AS (SELECT n, string_agg(word, ' ' ORDER BY p) AS body FROM (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs) a ANTI JOIN covered USING (n, p) GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM docs LEFT JOIN removed USING (n) LEFT JOIN kept USING (n)"""
+
 TOP_K = """WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
@@ -97,4 +106,4 @@ placed AS (SELECT doc_id, tokens, whole, rest, sum(tokens) OVER (PARTITION BY do
 times AS (SELECT doc_id, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n FROM placed)
 SELECT doc_id, CAST(unnest(range(CAST(n AS BIGINT))) AS INTEGER) AS epoch FROM times WHERE n > 0"""
 
-ORACLES = {"op4_url_filter": URL_FILTER, "op5_sharding": SHARDING, "op7_topk": TOP_K, "op9_quality_rules": QUALITY_RULES, "op10_mixing": MIXING}
+ORACLES = {"op4_url_filter": URL_FILTER, "op5_sharding": SHARDING, "op6_substring_dedup": SUBSTRING_DEDUP, "op7_topk": TOP_K, "op9_quality_rules": QUALITY_RULES, "op10_mixing": MIXING}
