@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts of about this many bytes are hashed together; bounds a Python worker's arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -102,8 +102,9 @@ class Hasher:
         """A hash for each word, or for its first ``most`` bytes."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        at = np.arange(len(data), dtype=np.int64)
-        at -= np.repeat(np.append(starts, len(data)), np.diff(np.concatenate(([0], starts[1:], [len(data)], [len(data)]))))
+        kind = np.int32 if len(data) < 2**31 else np.int64
+        at = np.arange(len(data), dtype=kind)
+        at -= np.repeat(starts.astype(kind), np.diff(np.concatenate(([0], starts[1:], [len(data)]))))
         at &= _POWERS - 1
         value = self.table[data]
         value *= self.powers[at]

@@ -53,7 +53,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 ASIDE_TAGS = frozenset("head nav header footer aside form menu dialog button select search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar header masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond disqus replies reply social share sharing related recommended widget toolbar skip".split()
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager side sidebar header masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond disqus replies reply social share sharing related recommended widget toolbar skip".split()
 )
 ARTICLE = frozenset(("article", "main"))
 

@@ -33,13 +33,12 @@ for those named as the result's.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b, sha256
 from itertools import compress
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -61,11 +60,26 @@ SPAN = [*KINDS[HIT], ("len", "<u4")]
 REQUEST = [("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("len", "<u4")]
 ROWS = "kind int, key int, blob binary"
 
-CHUNK = 2 << 20
-#: Bytes of text for each hash bucket; the buckets' number is a power of two within these.
-BUCKET_BYTES, BUCKETS = 2 << 20, (64, 1 << 16)
-
 Columns = dict[str, np.ndarray]
+#: (kind, key, blob)
+Packed = tuple[int, int, bytes]
+
+#: Bytes of text that are hashed and sorted at once.
+CHUNK = 2 << 20
+#: Bytes of text for each hash bucket, and the fewest buckets; from FAN buckets on, they grow to the larger size first.
+BUCKET_BYTES, MOST_BUCKET_BYTES, BUCKETS = 2 << 20, 16 << 20, 64
+#: Most buckets or shards that one task deals to. More are dealt in two steps, so that a packed row stays long.
+FAN = 4096
+#: Packed rows' bytes, unpacked, that the second dealing sorts at once.
+REGROUP_BYTES = 32 << 20
+
+
+def buckets_for(total: int) -> int:
+    """The hash buckets for so many bytes of text, a power of two."""
+    n = BUCKETS
+    while (n < FAN and n * BUCKET_BYTES < total) or n * MOST_BUCKET_BYTES < total:
+        n *= 2
+    return n
 
 
 def pack(table: Columns, kind: list[tuple[str, str]]) -> bytes:
@@ -108,13 +122,13 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def _dealt(table: Columns, kind: int | list, key: np.ndarray, offset: int) -> Iterator[tuple[int, int, bytes]]:
+def _dealt(table: Columns, kind: int, key: np.ndarray, columns: list[tuple[str, str]]) -> Iterator[Packed]:
     """A packed row for each key that occurs."""
     order = np.argsort(key, kind="stable")
     key, table = key[order], take(table, order)
     edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else [0]
     for begin, end in zip(edges[:-1], edges[1:], strict=True):
-        yield kind, offset + int(key[begin]), pack({n: c[begin:end] for n, c in table.items()}, KINDS[kind] if isinstance(kind, int) else kind)
+        yield kind, int(key[begin]), pack({n: c[begin:end] for n, c in table.items()}, columns)
 
 
 def prime_from(n: int) -> int:
@@ -130,6 +144,7 @@ class Plan:
         self.k, self.buckets, self.tagged, self.seed, self.suspects = k, buckets, tagged, seed, suspects
         self.shift = np.uint64(64 - buckets.bit_length() + 1)
         self.shards = prime_from(buckets)
+        self.wide = buckets > FAN
 
     def tag(self, text: bytes) -> int:
         return zlib.crc32(text) if self.tagged else 0
@@ -137,6 +152,37 @@ class Plan:
     def shard(self, doc: np.ndarray) -> np.ndarray:
         return np.mod(doc, self.shards)
 
+    def key(self, table: Columns, kind: int, coarse: bool) -> np.ndarray:
+        """The bucket or, behind the buckets, the shard of each row; when there are many and it is coarse, of a range of them."""
+        if kind in (ENTRY, RUN):
+            fine = (table["hash"] >> self.shift).astype(np.int64)
+            return fine // (self.buckets // FAN) if coarse and self.wide else fine
+        fine = self.shard(table["doc"])
+        return self.buckets + (fine % FAN if coarse and self.wide else fine)
+
+    def deal(self, table: Columns, kind: int, coarse: bool = True) -> Iterator[Packed]:
+        return _dealt(table, kind, self.key(table, kind, coarse), KINDS[kind])
+
+    def deal_again(self, rows: Iterator[Packed]) -> Iterator[Packed]:
+        """From ranges of buckets or shards to single ones; rows come sorted by (key, kind)."""
+        at, blobs, size = None, [], 0
+
+        def flush() -> Iterator[Packed]:
+            table = unpack(blobs, KINDS[at[1]])
+            if "hash" in table:
+                table = take(table, np.argsort(table["hash"], kind="stable"))
+            return self.deal(table, at[1], coarse=False)
+
+        for kind, key, blob in rows:
+            if blobs and (at != (key, kind) or size >= REGROUP_BYTES):
+                yield from flush()
+                blobs, size = [], 0
+            at = (key, kind)
+            blobs.append(blob)
+            size += zstandard.frame_content_size(blob)
+        if blobs:
+            yield from flush()
+
     def windows(self, docs: list[int], texts: list[bytes]) -> Columns:
         """Every window of some texts, in the order of (doc, tag, pos)."""
         hasher = Hasher(self.seed)
@@ -155,7 +201,7 @@ class Plan:
             hashes[i] = int.from_bytes(blake2b(b" ".join(bytes(data[starts[w] : ends[w]]) for w in at), digest_size=8).digest(), "little")
         return {"hash": hashes, "doc": np.array([docs[i] for i in rows], np.int64)[row], "tag": tags[row], "pos": pos[whole].astype(np.uint32)}
 
-    def first_step(self, docs: list[int], texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    def first_step(self, docs: list[int], texts: list[bytes]) -> Iterator[Packed]:
         """Entries for the buckets; repeats and windows that a document has twice, for the shards."""
         table = self.windows(docs, texts)
         table = take(table, np.argsort(table["hash"], kind="stable"))
@@ -167,11 +213,11 @@ class Plan:
         twin = (table["doc"] == first["doc"]) & (table["tag"] == first["tag"]) & ~lead
         apart = (table["doc"] == first["doc"]) & (table["tag"] != first["tag"])
         sent = np.flatnonzero(lead | apart)
-        yield from _dealt(take(table, sent), ENTRY, (table["hash"][sent] >> self.shift).astype(np.int64), 0)
+        yield from self.deal(take(table, sent), ENTRY)
         hits = take(table, np.flatnonzero(later)) | {"s" + n: first[n][later] for n, _ in PLACE}
-        yield from _dealt(hits, HIT, self.shard(hits["doc"]), self.buckets)
+        yield from self.deal(hits, HIT)
         twins = take(table, np.flatnonzero(twin)) | {"first": first["pos"][twin]}
-        yield from _dealt(twins, ALIAS, self.shard(twins["doc"]), self.buckets)
+        yield from self.deal(twins, ALIAS)
 
     def merge(self, fresh: Columns, held: Columns) -> tuple[Columns, Columns]:
         """The repeats among ``fresh``, and the first place of every hash that is new."""
@@ -193,19 +239,20 @@ class Plan:
         hits = take(table, np.flatnonzero(repeat)) | {"s" + n: table[n][first[repeat]] for n, _ in PLACE}
         return hits, take(table, np.flatnonzero(lead & new))
 
-    def second_step(self, key: int, fresh: pd.DataFrame, held: pd.DataFrame | None, keep: bool) -> Iterator[tuple[int, int, bytes]]:
+    def second_step(self, key: int, fresh: pa.Table, held: pa.Table | None, keep: bool) -> pa.Table:
         if key >= self.buckets:
-            yield from fresh.itertuples(index=False, name=None)
-            return
-        hits, run = self.merge(unpack(list(fresh["blob"]), KINDS[ENTRY]), unpack([] if held is None else list(held["blob"]), KINDS[RUN]))
-        yield from _dealt(hits, HIT, self.shard(hits["doc"]), self.buckets)
+            return fresh
+        hits, run = self.merge(unpack(blobs_of(fresh), KINDS[ENTRY]), unpack([] if held is None else blobs_of(held), KINDS[RUN]))
+        out = list(self.deal(hits, HIT))
         if keep and len(run["hash"]):
-            yield RUN, key, pack(run, KINDS[RUN])
+            out.append((RUN, key, pack(run, KINDS[RUN])))
+        return _table(out)
 
-    def third_step(self, rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
+    def third_step(self, rows: pa.Table) -> Iterator[Packed]:
         """Spans for the documents' shard (kind 0), and each different source's for the source's shard (kind 1)."""
-        hits = unpack(list(rows["blob"][rows["kind"] == HIT]), KINDS[HIT])
-        twins = unpack(list(rows["blob"][rows["kind"] == ALIAS]), KINDS[ALIAS])
+        kinds = rows.column("kind").to_numpy()
+        hits = unpack(blobs_of(rows.filter(pa.array(kinds == HIT))), KINDS[HIT])
+        twins = unpack(blobs_of(rows.filter(pa.array(kinds == ALIAS))), KINDS[ALIAS])
         if not len(hits["doc"]):
             return
         row = distinct([np.concatenate((hits[n], twins[n])) for n in ("doc", "tag")])[1] << 32
@@ -229,17 +276,43 @@ class Plan:
         yield 0, int(self.shard(spans["doc"][:1])[0]), pack(spans, SPAN)
         source = {n: spans["s" + n] for n, _ in PLACE} | {"len": spans["len"]}
         source = take(source, distinct([source[n] for n, _ in REQUEST])[0])
-        for _, key, blob in _dealt(source, REQUEST, self.shard(source["doc"]), 0):
-            yield 1, key, blob
+        yield from _dealt(source, 1, self.shard(source["doc"]), REQUEST)
 
 
-def _batch(rows: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _arrays(rows: Iterable[Packed]) -> list[pa.Array]:
     kind, key, blob = zip(*rows) if (rows := list(rows)) else ((), (), ())  # noqa: B905
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int32()), pa.array(blob, pa.binary())], names=["kind", "key", "blob"])
+    return [pa.array(kind, pa.int32()), pa.array(key, pa.int32()), pa.array(blob, pa.binary())]
+
+
+def _batch(rows: Iterable[Packed]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(_arrays(rows), names=["kind", "key", "blob"])
+
+
+def _table(rows: Iterable[Packed]) -> pa.Table:
+    return pa.Table.from_arrays(_arrays(rows), names=["kind", "key", "blob"])
+
+
+def blobs_of(rows: pa.Table) -> list[bytes]:
+    return rows.column("blob").to_pylist()
+
+
+def one_by_one(plan: Plan, rows: DataFrame) -> DataFrame:
+    """Packed rows by single bucket or shard; a second dealing where there are more than one task deals to."""
+    if not plan.wide:
+        return rows
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (row for b in sliced(batches) for row in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "blob")), strict=True))
+        held: list[Packed] = []
+        for row in plan.deal_again(each):
+            held.append(row)
+            if len(held) >= 1024:
+                yield _batch(held)
+                held = []
+        if held:
+            yield _batch(held)
 
-def _frame(rows: Iterator[tuple[int, int, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=["kind", "key", "blob"])
+    return rows.repartition("key").sortWithinPartitions("key", "kind").select("kind", "key", "blob").mapInArrow(again, ROWS)
 
 
 def _index_by_row(table: Columns) -> dict[tuple[int, int], Columns]:
@@ -352,13 +425,13 @@ class WindowIndex:
             if docs:
                 yield _batch(plan.first_step(docs, texts))
 
-        fresh = docs.where(F.col("_doc").isNotNull()).select("_doc", "_text").mapInArrow(first, ROWS)
+        fresh = one_by_one(plan, docs.where(F.col("_doc").isNotNull()).select("_doc", "_text").mapInArrow(first, ROWS))
         held = self.held()
         if held is None:
-            merged = fresh.groupBy("key").applyInPandas(lambda key, rows: _frame(plan.second_step(int(key[0]), rows, None, keep)), ROWS)
+            merged = fresh.groupBy("key").applyInArrow(lambda key, rows: plan.second_step(key[0].as_py(), rows, None, keep), ROWS)
         else:
-            # an inner group is never missing on the left alone: history without fresh entries has nothing to say
-            merged = fresh.groupBy("key").cogroup(held.groupBy("key")).applyInPandas(lambda key, rows, old: _frame(plan.second_step(int(key[0]), rows, old, keep)) if len(rows) else _frame(iter(())), ROWS)
+            # a bucket without fresh entries has nothing to say
+            merged = fresh.groupBy("key").cogroup(held.groupBy("key")).applyInArrow(lambda key, rows, old: plan.second_step(key[0].as_py(), rows, old, keep) if len(rows) else _table(()), ROWS)
         if not keep:
             return merged.where(F.col("kind") != RUN)
         table = self._save(merged)
@@ -371,12 +444,12 @@ class WindowIndex:
         while len(self.runs) > 1 and (always or 2 * self.runs[-1][1] >= self.runs[-2][1]):
             (old, _), (new, _) = self.runs[-2:]
 
-            def join(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-                parts = unpack([*a["blob"], *b["blob"]], KINDS[RUN])  # the hashes of two runs differ
-                return _frame(iter([(RUN, int(key[0]), pack(take(parts, np.argsort(parts["hash"], kind="stable")), KINDS[RUN]))]))
+            def join(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+                parts = unpack([*blobs_of(a), *blobs_of(b)], KINDS[RUN])  # the hashes of two runs differ
+                return _table([(RUN, key[0].as_py(), pack(take(parts, np.argsort(parts["hash"], kind="stable")), KINDS[RUN]))])
 
             read = lambda t: self.spark.table(t).where(F.col("kind") == RUN).select("key", "blob").groupBy("key")
-            table = self._save(read(old).cogroup(read(new)).applyInPandas(join, ROWS))
+            table = self._save(read(old).cogroup(read(new)).applyInArrow(join, ROWS))
             size = self.spark.table(table).agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
             self.runs[-2:] = [(table, size)]
             # the repeats in the old tables are wanted until the batches are judged
@@ -400,7 +473,7 @@ def _spans(rows: DataFrame, plan: Plan, bounds: list[int], path: str) -> None:
         if not last:
             index.compact()
         found = hits if found is None else found.unionAll(hits)
-    found.groupBy("key").applyInPandas(lambda rows: _frame(plan.third_step(rows)), ROWS).write.parquet(path)
+    one_by_one(plan, found).groupBy("key").applyInArrow(lambda rows: _table(plan.third_step(rows)), ROWS).write.parquet(path)
     index.drop()
 
 
@@ -455,9 +528,7 @@ def deduplicate(docs: DataFrame, k: int = 13, batches: int = 2, text: str = "tex
     cuts = F.array(*[F.lit(i / max(batches, 2)) for i in range(1, max(batches, 2))])
     clash = (F.col("lo") != F.col("hi")) & F.col("_doc").isNotNull()
     total, clashes, bounds = each.agg(F.sum("n"), F.max(clash), F.percentile_approx("_doc", cuts, 10000)).first()
-    buckets = BUCKETS[0]
-    while buckets < BUCKETS[1] and buckets * BUCKET_BYTES < (total or 0):
-        buckets *= 2
+    buckets = buckets_for(total or 0)
     bounds, suspects = sorted(set(bounds or [])) if batches > 1 else [], np.zeros(0, np.uint64)
     spark = docs.sparkSession
     while True:

@@ -278,6 +278,31 @@ def test_substring_dedup_in_batches_with_compaction(spark, batches):
     assert results(substring_dedup.deduplicate(df, batches=batches)) == plain_dedup(texts)
 
 
+def test_many_buckets_are_dealt_in_two_steps(spark, monkeypatch):
+    """More buckets and shards than one task deals to; the plan is made, and all dealing done, with a small fan."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1 << 8)
+    monkeypatch.setattr(substring_dedup, "MOST_BUCKET_BYTES", 1 << 9)
+    assert substring_dedup.buckets_for(1) == 64 and substring_dedup.buckets_for(10**9) * 512 >= 10**9
+    plan = substring_dedup.Plan(13, 8192, False, 1, np.zeros(0, np.uint64))
+    assert plan.wide
+    texts = sorted(made_texts().items())
+    rows = sorted(((key, kind, blob) for kind, key, blob in plan.first_step([i for i, _ in texts], [t.encode() for _, t in texts])), key=lambda r: r[:2])
+    again = list(plan.deal_again((kind, key, blob) for key, kind, blob in rows))
+    for kind in (substring_dedup.ENTRY, substring_dedup.HIT, substring_dedup.ALIAS):
+        columns = substring_dedup.KINDS[kind]
+        before = substring_dedup.unpack([b for _, k, b in rows if k == kind], columns)
+        after = substring_dedup.unpack([b for k, _, b in again if k == kind], columns)
+        assert sorted(zip(*(before[n].tolist() for n, _ in columns))) == sorted(zip(*(after[n].tolist() for n, _ in columns)))
+        for k, key, blob in again:
+            if k == kind:
+                assert set(plan.key(substring_dedup.unpack([blob], columns), kind, coarse=False).tolist()) == {key}
+    monkeypatch.undo()
+    monkeypatch.setattr(substring_dedup, "buckets_for", lambda total: 8192)
+    some = {i: t for i, t in made_texts().items() if i > 30}
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(2)
+    assert results(substring_dedup.deduplicate(df)) == plain_dedup(some)
+
+
 def test_shared_hashes_are_found_by_the_words(spark, monkeypatch):
     """With a hash of 9 bits nearly every window collides; the comparison of words puts it right."""
     honest = substring_dedup.Hasher.windows
