@@ -31,6 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     twice = durable(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return left.select(*COLUMNS)
     one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
