@@ -39,7 +39,10 @@ from pyspark.sql import functions as F
 from .common import append_columns, durable
 from .components import connected_components
 
+#: Fingerprints to a batch of small units; node pairs that are traversed at once; leaf pairs that are compared directly.
 BATCH, PAIRS, DIRECT = 1 << 16, 1 << 16, 64
+#: Hot subtrees whose list is sent to every executor instead of joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -160,8 +163,9 @@ def links(fps: DataFrame, bits: int = 3, split: int = 1 << 16) -> DataFrame:
         start = F.when(F.col("turn") == i, F.shiftrightunsigned(F.col("fp"), 64 - width * (i + 1)).bitwiseAND(F.lit((1 << width) - 1))).otherwise(start)
     turns = turns.withColumn("start", start)
     hot = durable(turns.groupBy("turn", "start").count().where(F.col("count") > split))
-    parts = F.ceil(F.col("count") / split).cast("int")
-    turns = turns.join(hot.select("turn", "start", parts.alias("parts")), ["turn", "start"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = hot.select("turn", "start", F.ceil(F.col("count") / split).cast("int").alias("parts"))
+    few = parts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    turns = turns.join(F.broadcast(parts) if few else parts, ["turn", "start"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     turns = turns.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     turns = turns.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).where("parts = 1 OR other <> part")
     key = [F.col("turn"), F.col("start"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")]
