@@ -196,7 +196,7 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
     scored = append_columns(rows, ["_text"], [("evidence", "double")], lambda texts: [pa.array(model.score(texts), pa.float64())])
     if with_rows:
         at = scratch(spark, "scored")
-        scored.write.parquet(at)
+        scored.write.option("compression", "zstd").parquet(at)
         scored = spark.read.schema(scored.schema).parquet(at)
     else:
         scored = durable(scored)

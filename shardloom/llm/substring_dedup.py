@@ -490,7 +490,7 @@ def _fourth_step(rows: DataFrame, plan: Plan, spans: str, with_text: bool) -> Da
         schema = schema.add(name, kind)
     path = scratch(spark, "deduplicated")
     clean = _clean(plan, with_text)
-    placed.repartition("_shard").sortWithinPartitions("_shard", "_kind").mapInArrow(clean, schema).write.parquet(path)
+    placed.repartition("_shard").sortWithinPartitions("_shard", "_kind").mapInArrow(clean, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
