@@ -2,6 +2,10 @@
 
 Every stage takes all documents that its predecessor kept. All but the last
 return the columns of documents; the last returns tokens.
+
+Nulls, empty and very long texts, ties and repeated rows are taken as the
+stages' operators state. Stages read the columns of documents alone, so others
+may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,6 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         path = scratch(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
