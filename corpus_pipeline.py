@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import mixing, pieces, quality_classifier, queries, simhash, substring_dedup
+from shardloom.llm import mixing, near_copies, pieces, quality_classifier, queries, substring_dedup
 from shardloom.llm.common import durable, read, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,12 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """The document with the smallest id of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
 
     Rows that share an id are one document, of which the smallest row stays;
     rows without an id stay.
     """
-    groups = durable(simhash.components(docs))  # narrow
+    groups = durable(near_copies.components(docs))  # narrow
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     twice = durable(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
@@ -60,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
     ("mixing", mixture),
     ("SentencePiece encoding", tokens),
