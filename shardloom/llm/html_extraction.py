@@ -22,7 +22,8 @@ blocks, character references decoded, white space made one space, a line each.
 
 Defined cases: null and empty pages have the empty text; a page without a host
 shares the template of those; hosts with fewer than ``LEAST_PAGES`` pages have
-no template; broken markup is read as far as it goes; repeated rows and an
+no template; broken markup is read as far as it goes: only scripts and styles
+that are never closed take the rest of the page; the words of formulas stay; repeated rows and an
 empty table work; extra columns are dropped.
 """
 
@@ -42,7 +43,10 @@ from .common import append_columns, durable
 
 # Fixed values of HTML: elements without content, elements whose content is not markup, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes|noscript|template|svg|math|canvas|object|audio|video"
+RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes"
+#: Elements whose content is a picture or stands in for what is shown: set aside where they are closed.
+INSTEAD = frozenset("svg canvas object audio video template noscript".split())
+FOREIGN = frozenset(("svg", "math"))
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -58,7 +62,7 @@ ASIDE_NAMES = frozenset(
 ARTICLE = frozenset(("article", "main"))
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|(<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)(?:.*?(</\2\s*>)|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)", re.I)
@@ -71,6 +75,25 @@ MOST_BROADCAST = 16 << 20
 DEPTH = 12
 
 
+def markup(html: str) -> tuple[list[tuple[int, int, str, str, str]], set[int]]:
+    """(start, end, slash, tag or nothing, attributes) of each token, and where closed elements of INSTEAD and FOREIGN start."""
+    found, closed, at = [], set(), 0
+    opened: dict[str, list[int]] = {tag: [] for tag in INSTEAD | FOREIGN}
+    while token := TOKEN.search(html, at):
+        at = token.end()
+        if token[1] and ((token[1].endswith("/>") and (opened["svg"] or opened["math"])) or (not token[3] and token[2].lower() not in ("script", "style"))):
+            at = token.end(1)  # empty within a picture, or never closed
+        tag = (token[5] or "").lower()
+        found.append((token.start(), at, token[4] or "", tag, token[6] or ""))
+        if tag in opened:
+            if token[4]:
+                if opened[tag]:
+                    closed.add(opened[tag].pop())
+            elif not (tag in FOREIGN and token[6].endswith("/")):
+                opened[tag].append(token.start())
+    return found, closed
+
+
 class Page:
     """A page's elements (path, parent, whether set aside) in order, and its blocks of text with their element."""
 
@@ -83,15 +106,15 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._stack, self._text, self._at = [0], [], 0
         end = 0
-        for token in TOKEN.finditer(html):
-            if token.start() > end:
-                self._add(html[end : token.start()])
-            end = token.end()
-            if name := token[3]:
-                if token[2]:
-                    self._close(name.lower())
-                else:
-                    self._open(name.lower(), token[4])
+        found, closed = markup(html)
+        for start, after, slash, tag, attributes in found:
+            if start > end:
+                self._add(html[end:start])
+            end = after
+            if tag and slash:
+                self._close(tag)
+            elif tag and (tag not in INSTEAD | FOREIGN or start in closed):  # else it has no content
+                self._open(tag, attributes)
         if end < len(html):
             self._add(html[end:])
         self._flush()
@@ -143,7 +166,7 @@ class Page:
         top = self._stack[-1]
         words = {w.lower() for k in ("class", "id") for w in WORD.findall(found.get(k, ""))}
         whole = tag in ARTICLE or tag in ("html", "body")
-        aside = tag in ASIDE_TAGS or (not whole and (bool(words & ASIDE_NAMES) or found.get("role", "").lower() in ASIDE_ROLES)) or "hidden" in found or bool(HIDDEN.search(found.get("style", "")))
+        aside = tag in ASIDE_TAGS or tag in INSTEAD or (not whole and (bool(words & ASIDE_NAMES) or found.get("role", "").lower() in ASIDE_ROLES)) or "hidden" in found or bool(HIDDEN.search(found.get("style", "")))
         label = tag + "".join("." + c for c in found.get("class", "").split()) + ("#" + found["id"] if found.get("id") else "")
         self.path.append(self.path[top] + ">" + label if len(self._stack) <= DEPTH else self.path[top])
         self.tag.append(tag)

@@ -151,6 +151,18 @@ def test_main_text():
     assert html_extraction.main_text('<p>a<p title="1 > 0">b</p><p title="open>c</p>', None) == "a\nb\nc"
 
 
+def test_no_element_takes_the_rest_of_the_page():
+    text = lambda h: html_extraction.main_text(f"<article>{h}</article>", None)
+    assert text('<p>one <svg class="i"/> two</p><p>three</p>') == "one two\nthree"
+    assert text('<p>one <svg class="i"/> two</p><p>x <svg><title/><path d="M0"/><text>no</text></svg>y</p>') == "one two\nx y"
+    for tag in ("video", "audio", "canvas", "object", "template", "noscript", "svg", "iframe", "textarea", "title"):
+        assert text(f"<p>a <{tag} id=k> b</p><p>c</p>") == "a b\nc"
+        assert text(f"<p>a <{tag}>no <b>no</b></{tag}> b</p><p>c</p>") == "a b\nc"
+    assert text("<p>a <video src=x> b</p><p>c <video>no</video> d</p>") == "a b\nc d"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == "so x=1 holds"
+    assert text("<p>a</p><script>no </p>") == "a"
+
+
 def test_template_finds_the_slot_and_what_is_constant(spark):
     rows = []
     for i in range(12):
