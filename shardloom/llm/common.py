@@ -28,7 +28,7 @@ _NOTHING = "__nothing"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one is set only where it is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shardloom-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
@@ -52,6 +54,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a compressed table of the shared folder, for what is too wide for a checkpoint."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Hadoop's file system, wherever the shared folder lives."""
     jvm = spark._jvm

@@ -1,21 +1,30 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their components.
-
-The join finds every such pair. In any one order of all shingles, two near
-copies share a shingle among the first ``n // 5 + 1`` of each, n being a set's
-size. Shingles that are common in a sample of texts come last in that order; the
-sample changes the time taken, never the pairs. Documents that share a shingle
-of their prefixes meet at it, and a pair goes on if enough of both sets is left
-from there. Every pair is then judged by its whole sets.
-
-Only components are wanted: where documents meet, all are compared with one of
-them first, in two rounds, and then only pairs of different components with each
-other, so a dense group costs far less than all its pairs.
+"""Near-duplicate removal on SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+1. Every text becomes a node: the hash of its words, its SimHash over the
+   shingles, the shingles of its prefix and a sketch of all of them.
+2. The trie self-join links fingerprints at ``bits`` or fewer differing bits. It
+   finds about half of the near copies, and those at a fraction of the cost.
+3. Near copies may lie further apart than any budget that a trie can prune by:
+   at a similarity of 0.8 a bit differs with probability 0.15. The rest is
+   therefore found exactly. In any one order of all shingles, two near copies
+   share a shingle among the first ``n // 5 + 1`` of each, n being a set's size.
+   Shingles that are common in a sample of texts come last in that order; the
+   sample changes the time taken, never the pairs. Documents that share a
+   shingle of their prefixes meet at it. Only components are wanted: where all
+   that meet are in one component already, nothing is left to do; else all are
+   compared with one of them, and then pairs of different components.
+4. Every pair, from either way, must pass two tests: the sketches' bound (the
+   shingles counted in ``BINS`` bins: two sets share at most the sum of the
+   smaller counts) and its whole sets. Whole sets are made for pairs alone that
+   pass the bound.
 
 Defined cases: words are those of SimHash (A-Z made small); texts with the same
 words are one node, so copies cost one row; a text of fewer than five words is
 one shingle, and texts without words are copies of each other; a row with a null
-id gets the component of its text (null if no document there has an id);
-repeated rows each get a row; an empty table gives an empty result.
+id gets the component of its text (null if no document there has an id) and
+stays only where no row of its component has one; rows that share an id are
+judged each by its own text; repeated rows each get a row; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, append_columns, chunks, durable, sliced, split_words
+from .common import Hasher, append_columns, chunks, durable, packed, sliced, split_words, written
 from .components import connected_components
+from .simhash import links as trie_links
+from .simhash import majority
 
 SHINGLE = 5
-#: Texts whose shingles are counted to order all; a shingle that is common in them, and how many of those are held.
-SAMPLE, COMMON, MOST_COMMON = 6_000, 3, 200_000
+#: Of so many texts one is in the sample that orders shingles (``SAMPLE`` texts at least); a shingle that is common in it, and how many of those are held.
+EVERY, SAMPLE, COMMON, MOST_COMMON = 64, 6_000, 3, 200_000
+#: Bins of a sketch, and the largest set that has one; larger sets go straight to the whole comparison.
+BINS, MOST_SKETCHED = 256, 1 << 20
 #: Shingles or nodes whose list is sent to every executor instead of joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -55,15 +68,27 @@ def shingle_sets(texts: list[str | None], hasher: Hasher) -> Iterator[np.ndarray
 
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the order of (count in the sample, hash)."""
-    rank = np.zeros(len(shingles), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(rank, kind="stable")[: len(shingles) // 5 + 1]]
+    size = len(shingles) // 5 + 1
+    if not len(common):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    known = common[at] == shingles
+    rare = shingles[~known]
+    if len(rare) >= size:
+        return rare[:size]
+    held, rank = shingles[known], counts[at[known]]
+    return np.concatenate((rare, held[np.argsort(rank, kind="stable")]))[:size]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many of the shingles are in each bin; nothing for a very large set."""
+    if len(shingles) > MOST_SKETCHED:
+        return b""
+    return np.minimum(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    every = max(1, texts.count() // SAMPLE)
+    every = max(1, min(EVERY, texts.count() // SAMPLE))
     some = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,92 +104,144 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def _small(df: DataFrame) -> DataFrame:
+    df = durable(df)
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def described(texts: DataFrame) -> DataFrame:
+    """doc_id, node, n (the set's size), fp (its SimHash), heads (its prefix) and sketch of every row of (doc_id, text)."""
+    common, counts = _common(texts)
+    held = texts.sparkSession.sparkContext.broadcast((common, counts))  # bounded by MOST_COMMON
+    hasher = Hasher()
+
+    def compute(rows: list[str | None]) -> list[pa.Array]:
+        node, n, fp, heads, sketches = [], [], [], [], []
+        for text, shingles in zip(rows, shingle_sets(rows, hasher), strict=True):
+            node.append(node_of(text))
+            n.append(len(shingles))
+            fp.append(majority(shingles))
+            heads.append(prefix(shingles, *held.value))
+            sketches.append(sketch(shingles))
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
+        flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)))
+        return [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), flat, pa.array(sketches, pa.binary())]
+
+    fields = [("node", "long"), ("n", "long"), ("fp", "long"), ("heads", "array<bigint>"), ("sketch", "binary")]
+    return append_columns(texts, ["text"], fields, compute, keep=["doc_id"])
+
+
 def _enough(a: str, b: str) -> Column:
     """Whether two sets can share four ninths of their sizes' sum if their first common shingle is at ``at`` in each."""
     return F.expr(f"9 * least({a}n - {a}at, {b}n - {b}at) >= 4 * ({a}n + {b}n)")
 
 
-def _pair() -> list[Column]:
-    return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    met = met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+def _judged(met: DataFrame, left: str, right: str, test) -> DataFrame:
+    """The pairs (a, b) whose columns ``left`` and ``right`` pass the test."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            keep = [test(x, y) for x, y in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return durable(met.select("a", "b", "of_a", "of_b").mapInArrow(judge, "a long, b long"))
+    return met.select("a", "b", left, right).mapInArrow(judge, "a long, b long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    df = durable(df)
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def may_share(x: bytes, y: bytes) -> bool:
+    """Whether two sets can be near copies by their sketches."""
+    if not x or not y:
+        return True
+    x, y = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    return max(x.max(), y.max()) == 65535 or bool(9 * np.minimum(x, y).sum() >= 4 * (x.sum() + y.sum()))
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """(h, node, n, at) of each shingle of each text's prefix."""
-    common, counts = _common(texts)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in sliced(batches):
-            rows = batch.column("text").to_pylist()
-            sets = list(shingle_sets(rows, hasher))
-            heads = [prefix(s, common, counts) for s in sets]
-            sizes = [len(x) for x in heads]
-            flat = np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)
-            node, n = (np.repeat(np.array(x, np.int64), sizes) for x in ([node_of(t) for t in rows], [len(s) for s in sets]))
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(n), pa.array(at.astype(np.int64))], names=["h", "node", "n", "at"])
-
-    return texts.select("text").mapInArrow(explode, "h long, node long, n long, at long")
+def similar(x: bytes, y: bytes) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return bool(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) with the components of all near copies among ``texts`` (column text)."""
+def sets_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes (node, first: the smallest id of its rows)."""
     hasher = Hasher()
-    at = _prefixes(texts)
+    ids = _small(wanted.select(F.col("first").alias("_first")).distinct())
+    some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    one = append_columns(some, ["text"], [("node", "long"), ("text", "string")], lambda rows: [pa.array([node_of(t) for t in rows], pa.int64()), pa.array(rows, pa.string())], keep=[])
+    one = one.join(_small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return append_columns(one, ["text"], [("shingles", "binary")], lambda rows: [pa.array([s.tobytes() for s in shingle_sets(rows, hasher)], pa.binary())])
+
+
+def near(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of nodes those that are near copies."""
+    pairs = durable(pairs.where("a <> b").distinct())
+    held = nodes.select("node", "sketch")
+    met = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("of_b")), "b")
+    left = durable(_judged(met, "of_a", "of_b", may_share))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(sets_of(durable(nodes.select("node", "first").join(wanted, "node")), texts), "shingles")
+    met = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    return durable(_judged(met, "of_a", "of_b", similar))
+
+
+def links(nodes: DataFrame, texts: DataFrame, bits: int = 3) -> DataFrame:
+    """Links (a, b) with the components of all near copies among ``nodes``."""
+    # the trie: fingerprints, and the nodes that share one
+    heads = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    alike = nodes.select("node", "fp").join(heads, "fp").select(*_ordered("node", "head"))
+    forest = trie_links(heads.select("fp"), bits)
+    forest = forest.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    pairs = alike.unionByName(forest.select(*_ordered("x", "y")))
+    # the rest: nodes that share a shingle of their prefixes
+    at = nodes.select("node", "n", F.posexplode("heads").alias("at", "h"))
     shared = _small(at.groupBy("h").count().where("count > 1").select("h"))
-    met = at.join(shared, "h").groupBy("h", "node").agg(F.max("n").alias("n"), F.max("at").alias("at"))
-    met = durable(met)
-    # one text of each node that meets another
-    wanted = _small(met.join(met.groupBy("h").count().where("count > 1").select("h"), "h").select("node").distinct())
-    one = append_columns(texts.select("text"), ["text"], [("node", "long"), ("text", "string")], lambda rows: [pa.array([node_of(t) for t in rows], pa.int64()), pa.array(rows, pa.string())], keep=[])
-    one = one.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-
-    def packed(rows: list[str | None]) -> list[pa.Array]:
-        return [pa.array([s.tobytes() for s in shingle_sets(rows, hasher)], pa.binary())]
-
-    sets = durable(append_columns(one, ["text"], [("shingles", "binary")], packed))
-    found = None
-    for order in (F.struct("node"), F.struct(F.xxhash64("node", "h"), F.col("node"))):
-        first = met.groupBy("h").agg(F.min_by(F.struct("node", "n", "at"), order).alias("c")).select("h", "c.*")
-        pairs = met.alias("x").join(first.alias("y"), "h").where("x.node <> y.node").where(_enough("x.", "y."))
-        new = near(pairs.select(*_pair()).distinct(), sets)
+    met, found = written(at.join(shared, "h"), "met"), None
+    for _ in range(2):
+        new = near(pairs, nodes, texts)
         found = new if found is None else found.unionByName(new)
         roots = connected_components(found)
         rooted = met.select("h", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        met = durable(rooted.join(mixed, "h").select("h", "node", "n", "at", "root"))
+        met = written(rooted.join(mixed, "h").select("h", "node", "n", "at", "root"), "met")
+        # all that meet with one of them
+        order = F.struct(F.xxhash64("node", "h"), F.col("node"))
+        first = met.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "root"), order).alias("c")).select("h", "c.*")
+        pairs = met.alias("x").join(first.alias("y"), "h").where("x.root <> y.root").where(_enough("x.", "y.")).select(*_ordered("x.node", "y.node"))
     pairs = met.alias("x").join(met.alias("y"), "h").where("x.node < y.node AND x.root <> y.root").where(_enough("x.", "y."))
-    return found.unionByName(near(pairs.select(*_pair()).distinct(), sets))
+    return found.unionByName(near(pairs.select(*_ordered("x.node", "y.node")), nodes, texts))
 
 
-def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, node (the hash of the text's words) and component_id of every row."""
+def components(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3) -> DataFrame:
+    """doc_id, node (the hash of the text's words), component_id and stays (the component's row with the smallest id, ties to the smallest node) of every row."""
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = durable(append_columns(texts, ["text"], [("node", "long")], lambda found: [pa.array([node_of(t) for t in found], pa.int64())]))
-    first = durable(rows.groupBy("node").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(texts.select("text")))
-    rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # written, so that a large component's rows can be split
-    named = durable(rooted.join(named, "root").select("node", "component_id"))
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+    rows = written(described(texts), "described")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("n", "fp", "heads", "sketch")).alias("d")).select("node", "first", "d.*"), "nodes")
+    roots = connected_components(links(nodes, texts, bits))
+    rooted = durable(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")))  # written, so that a large component's rows can be split
+    named = durable(rooted.join(named, "root").select("node", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node")))
+    stays = (F.col("node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id", stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component.
+
+    Of several rows with the same id and words the smallest stays.
+    """
+    groups = durable(components(docs, text, key, bits))  # narrow
+    gone = groups.where("NOT stays").select(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_none"), F.col("node").alias("_node")).distinct()
+    twice = durable(groups.where("stays").groupBy("doc_id", "node").count().where("count > 1").select("node"))
+    rows = docs.select(packed(docs, [text]).alias("_row"), F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
+    rows = append_columns(rows, ["_text"], [("_text", "string"), ("_node", "long")], lambda found: [pa.array(found, pa.string()), pa.array([node_of(t) for t in found], pa.int64())])
+    rows = rows.withColumns({"_key": F.coalesce("_id", F.lit(0)), "_none": F.col("_id").isNull()})
+    left = rows.join(gone, ["_key", "_none", "_node"], "left_anti")
+    out = [F.col("_text").cast(docs.schema[text].dataType).alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    if twice.isEmpty():
+        return left.select(*out)
+    again = twice.select(F.col("node").alias("_node"))
+    one = left.join(again, "_node", "left_semi").groupBy("_key", "_none", "_node").agg(F.min(F.struct("_text", "_row")).alias("_first")).select("_first.*")
+    return left.join(again, "_node", "left_anti").select(*out).unionByName(one.select(*out))

@@ -45,6 +45,15 @@ BATCH, PAIRS, DIRECT = 1 << 16, 1 << 16, 64
 MOST_BROADCAST = 100_000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of some 64-bit hashes: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BATCH):
+        part = hashes[at : at + BATCH].astype("<u8", copy=False)
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned SimHash: a bit is 1 if set in over half of the shingles' XXH64."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only
@@ -55,12 +64,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         return digest(joined, seed)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)][shingle - 1 :]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(ends), BATCH):
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts[at : at + BATCH], ends[at : at + BATCH])]  # noqa: B905
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(ends), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends)), "<u8", len(ends)))  # noqa: B905
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:

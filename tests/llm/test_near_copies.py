@@ -55,3 +55,28 @@ def test_stage_finds_every_near_copy(spark, sf):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     _, expected = plain_components(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(set(expected))
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    """Two texts of one id both stay; a row without an id goes where another row of its component has one."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(5, one), (3, one), (5, two), (9, two), (None, two), (None, three), (None, three.upper()), (5, two), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, node int")
+    got = near_copies.near_duplicates(docs)
+    assert got.columns == ["doc_id", "text", "node"]
+    kept = [(r.doc_id, (r.text or "").lower()) for r in got.collect()]
+    assert sorted(kept, key=repr) == sorted([(3, one), (5, two), (None, three), (7, "")], key=repr)
+    assert not near_copies.near_duplicates(docs.limit(0)).collect()
+
+
+def test_the_sketch_never_drops_a_near_copy():
+    rng = random.Random(3)
+    hasher = near_copies.Hasher()
+    for n in (1, 4, 5, 9, 60, 500, 5000):
+        base = [f"w{rng.randrange(300)}" for _ in range(n)]
+        for _ in range(20):
+            other = list(base)
+            for _ in range(rng.randrange(1 + n // 20)):
+                other[rng.randrange(n)] = "x"
+            x, y = near_copies.shingle_sets([" ".join(base), " ".join(other)], hasher)
+            assert near_copies.may_share(near_copies.sketch(x), near_copies.sketch(y)) or not near_copies.similar(x.tobytes(), y.tobytes())

@@ -3,12 +3,12 @@
 import hashlib
 from collections import Counter
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
 from shardloom.llm import queries
-from tests.llm.test_operators import WORDS, groups_of, plain_dedup, plain_fingerprint
+from tests.llm.test_near_copies import plain_components
+from tests.llm.test_operators import WORDS, plain_dedup
 
 
 @pytest.fixture(scope="module")
@@ -33,11 +33,9 @@ def test_quality(steps, spark, sf):
 
 
 def test_near_duplicates(steps):
-    ids = sorted(r.doc_id for r in steps[1])
-    text = {r.doc_id: r.text for r in steps[1]}
-    fps = np.array([plain_fingerprint(text[i]) for i in ids], np.uint64)
-    near = [(i, int(j)) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[:i]) <= 3)]
-    assert sorted(r.doc_id for r in steps[2]) == sorted({ids[g] for g in groups_of(len(ids), near)})
+    """Five-word shingles at a Jaccard similarity of 0.8 or more, by brute force."""
+    rows = sorted((r.doc_id, r.text) for r in steps[1])
+    assert sorted(r.doc_id for r in steps[2]) == sorted(set(plain_components(rows)[1]))
 
 
 def test_repeated_passages(steps):
