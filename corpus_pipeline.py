@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import mixing, near_copies, pieces, quality_classifier, queries, substring_dedup
-from shardloom.llm.common import durable, read, scratch
+from shardloom.llm.common import read, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,19 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
+    """One row of each group of near-duplicates, that with the smallest id: five-word shingles, Jaccard similarity of 0.8 or more.
 
-    Rows that share an id are one document, of which the smallest row stays;
-    rows without an id stay.
+    Rows that share an id but not their words are judged each by its own text.
     """
-    groups = durable(near_copies.components(docs))  # narrow
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = durable(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return left.select(*COLUMNS)
-    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
+    return near_copies.near_duplicates(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
