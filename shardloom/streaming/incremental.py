@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.ledger import commit, ledger_key
+from ..operators.ledger import commit, ledger_key, transferred
 from ..operators.routing import moved, route
 from ..spec import TableSpec, Topology
 
+__all__ = ["arrivals", "caught_up", "run", "transferred"]
+
 
 def arrivals(spark: SparkSession, path: str, schema: StructType, since: Column | None = None, files: int = 1000, glob: str = "*") -> DataFrame:
     """A stream of a folder's files, a bounded number of them in each batch."""
@@ -20,15 +21,16 @@ def arrivals(spark: SparkSession, path: str, schema: StructType, since: Column |
     return rows if since is None else rows.where(since)
 
 
-def run(stream: DataFrame, move: str, table: TableSpec, current: Topology, target: Topology, data: str, ledger: str, checkpoint: str, order: Sequence[Column], every: str | None = None) -> StreamingQuery:
+def run(stream: DataFrame, move: str, table: TableSpec, current: Topology, target: Topology, data: str, ledger: str, checkpoint: str, order: Sequence[Column], every: str | None = None, name: str = "stream") -> StreamingQuery:
     """Start moving a stream's rows. The stream's checkpoint is the cursor; the ledger keeps out what was moved before.
 
-    Without ``every`` it stops when it has caught up.
+    Without ``every`` it stops when it has caught up. ``name`` tells the move's
+    streams apart: each has a checkpoint and batches of its own.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
         routed = moved(route(batch, table, current, target)).withColumns(ledger_key(move, table.table))
-        commit(routed, batch_id, data, ledger, table.id_column, order)
+        commit(routed, batch_id, data, ledger, table.id_column, order, f"{move}.{name}")
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -37,9 +39,3 @@ def run(stream: DataFrame, move: str, table: TableSpec, current: Topology, targe
 def caught_up(query: StreamingQuery) -> bool:
     last = query.lastProgress
     return query.exception() is None and (not query.isActive or (last is not None and last["numInputRows"] == 0))
-
-
-def transferred(spark: SparkSession, data: str, ledger: str) -> DataFrame:
-    """The rows whose ledger entries are written: what broke off between the two doesn't show."""
-    done = spark.read.parquet(ledger).select("batch_id").distinct()
-    return spark.read.parquet(data).join(F.broadcast(done), "batch_id", "left_semi")
