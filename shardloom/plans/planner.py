@@ -91,7 +91,7 @@ def orphan_slots(slots: DataFrame, tasks: DataFrame) -> DataFrame:
     return slots.join(active(tasks).select("task_id"), "task_id", "left_anti")
 
 
-def claim_next(tasks: DataFrame) -> DataFrame:
-    """The task to be claimed first, as its claim leaves it."""
-    first = tasks.where(F.col("status").isin(*CLAIMABLE)).orderBy("sequence_number", "task_id").limit(1)
+def claim_next(tasks: DataFrame, most: int = 1) -> DataFrame:
+    """The tasks to be claimed first, as their claim leaves them; the claimer adds its token."""
+    first = tasks.where(F.col("status").isin(*CLAIMABLE)).orderBy("sequence_number", "task_id").limit(most)
     return first.withColumns({"generation": F.col("generation") + 1, "status": F.lit("ASSIGNED")})

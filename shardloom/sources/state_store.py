@@ -2,15 +2,17 @@
 
 Keys with prefixes, point reads with revisions, and conditional writes: put if
 absent, compare and set, compare and delete, delete by prefix. A version is
-written beside the last and takes effect by a rename, which fails if another
-writer was first.
+written beside the last and takes effect by a rename that never replaces: it
+fails if another writer was first, on HDFS as on a local file system.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +46,21 @@ class StateStore:
 
     def _save(self, version: int, entries: dict[str, Entry]) -> bool:
         target = self._at(f"{self.path}/v{version + 1:012d}.json")
-        draft = self._at(f"{self.path}/.draft-{version + 1}-{id(entries)}")
+        draft = self._at(f"{self.path}/.draft-{version + 1}-{uuid4().hex}")
         stream = self._fs.create(draft, True)
         try:
             stream.write(json.dumps({k: [e.value, e.revision] for k, e in entries.items()}).encode())
         finally:
             stream.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, target, options)
+        except Py4JJavaError as lost:
             self._fs.delete(draft, False)
-            return False
+            if "FileAlreadyExists" in str(lost.java_exception):
+                return False
+            raise
         for old in self._versions()[:-2]:
             self._fs.delete(self._at(f"{self.path}/v{old:012d}.json"), False)
         return True
@@ -74,6 +82,9 @@ class StateStore:
     def put(self, key: str, value: str) -> bool:
         return self._change(lambda held, r: held | {key: Entry(value, r)})
 
+    def put_all(self, values: dict[str, str]) -> bool:
+        return self._change(lambda held, r: held | {k: Entry(v, r) for k, v in values.items()})
+
     def put_if_absent(self, key: str, value: str) -> bool:
         return self._change(lambda held, r: None if key in held else held | {key: Entry(value, r)})
 

@@ -139,11 +139,11 @@ class Move:
 def start_error(start: datetime | None, end: datetime | None, tables: tuple[TableSpec, ...]) -> str | None:
     """Why a move can't start, or None."""
     if start is None or end is None:
-        return "dateFrom and dateTo are required for START"
+        return "a move is required to have a first and a last date"
     if not start < end:
-        return "dateFrom must be strictly before dateTo"
+        return "the first date must lie strictly before the last"
     loose = next((t.key for t in tables if t.enabled and not t.shard_key.unique), None)
-    return loose and f"Table {loose} must declare shardKey.unique=true: migration ledger deduplicates by hash key"
+    return loose and f"the shard key of table {loose} isn't declared unique, and the ledger keeps one row a key"
 
 
 def tables_from(config: Mapping) -> tuple[TableSpec, ...]:
