@@ -18,9 +18,11 @@ from .functions import hashing, naming
 from .operators import ledger, routing, scan
 from .plans import extensions, planner, progress, state
 from .sources import state_store
+from .engine import BulkMove
 from .sources.shards import source_union as union_of_shards
+from .sources.shards import write_shards
 from .sources.workspace import workspace
-from .spec import Topology
+from .spec import Move, Topology
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,10 +146,10 @@ def null_range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT 'orders' AS table_name, CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'o_custkey' ELSE 'o_orderkey' END AS key_field, {_ORDERS_RULE} AS key_value FROM orders
-UNION ALL SELECT 'events', event_id, CASE WHEN event_type = 'purchase' THEN 'event_id' ELSE 'user_id' END, CASE WHEN event_type = 'purchase' THEN CAST(event_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END FROM events WHERE event_type <> 'view'""")
+UNION ALL SELECT 'events', event_id, CASE event_type WHEN 'purchase' THEN 'event_id' WHEN 'view' THEN 'value' ELSE 'user_id' END, CASE event_type WHEN 'purchase' THEN CAST(event_id AS VARCHAR) WHEN 'view' THEN CAST(value AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END FROM events""")
 def shard_key_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for spec, rows in ((pr.ORDERS_BY_RULE, table(spark, sf_dir, "orders")), (pr.EVENTS_BY_RULE, table(spark, sf_dir, "events").where("event_type <> 'view'"))):
+    for spec, rows in ((pr.ORDERS_BY_RULE, table(spark, sf_dir, "orders")), (pr.EVENTS_BY_RULE, table(spark, sf_dir, "events"))):
         keyed = rows.select(F.lit(spec.table).alias("table_name"), F.col(spec.id_column).cast("long").alias("id"), routing.key_field(spec.shard_key).alias("key_field"), routing.key_text(spec.shard_key).alias("key_value"))
         out = keyed if out is None else out.unionByName(keyed)
     return out
@@ -217,8 +219,10 @@ def known_dbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_routed(_ORDERS_KEYED)} SELECT o_orderkey, o_orderdate, source_db FROM routed")
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders_routed(spark, sf_dir)
-    return union_of_shards({s: rows.where(F.col("source_db") == s).drop("source_db") for s in pr.V1.ids}).select("o_orderkey", "o_orderdate", "source_db")
+    rows, path = _orders_routed(spark, sf_dir).select("o_orderkey", "o_orderdate", F.col("source_db").alias("target_db")), workspace(spark, "shards")
+    write_shards(rows, path)  # one pass; then each shard is read by itself
+    schema = rows.drop("target_db").schema
+    return union_of_shards({s: spark.read.schema(schema).parquet(f"{path}/target_db={s}") for s in pr.V1.ids}).select("o_orderkey", "o_orderdate", "source_db")
 
 
 # ---- ledger
@@ -296,9 +300,9 @@ def task_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_routed(_EVENTS_KEYED)} SELECT source_db, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '2024-01-01 00:15:00') AS range_from, count(*) AS rows_read, count(*) FILTER (WHERE source_db <> target_db) AS rows_moved
-FROM routed WHERE ts >= TIMESTAMP '2024-01-01 00:15:00' GROUP BY ALL""")
+FROM routed GROUP BY ALL""")
 def slice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routing.route(table(spark, sf_dir, "events").where(F.col("ts") >= scan.timestamp(datetime(2024, 1, 1, 0, 15))), pr.EVENTS, pr.V1, pr.V2)
+    rows = routing.route(table(spark, sf_dir, "events"), pr.EVENTS, pr.V1, pr.V2)
     by_slice = rows.groupBy("source_db", F.window("ts", "60 minutes", startTime="15 minutes").alias("w"))
     return by_slice.agg(F.count("*").alias("rows_read"), F.count_if(F.col("source_db") != F.col("target_db")).alias("rows_moved")).select("source_db", F.col("w.start").alias("range_from"), "rows_read", "rows_moved")
 
@@ -522,6 +526,39 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.transferred(spark, f"{work}/data", f"{work}/ledger").select("shard_key_value", "ts", "event_type", "source_db", "target_db")
 
 
+# ---- whole moves
+
+_ONE_FROM, _ONE_TO, _TWO_TO = datetime(1993, 1, 1), datetime(1996, 1, 1), datetime(1998, 1, 1)
+
+
+def _order_move(ident: str, start: datetime, end: datetime) -> Move:
+    return Move(ident, pr.V1, pr.V2, start, end, (pr.ORDERS,))
+
+
+@query(f"""WITH RECURSIVE {_routed(_ORDERS_KEYED)} SELECT migration_id, key_value AS shard_key_value, o_orderdate, target_db FROM routed,
+(VALUES ('m1', TIMESTAMP '0001-01-01'), ('m2', {_ts(_ONE_TO)})) v(migration_id, since) WHERE source_db <> target_db AND o_orderdate >= since AND (migration_id = 'm1' OR o_orderdate < {_ts(_TWO_TO)})""")
+def moves_on_one_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bulk move of some years, then a stream of all rows, of which those moved are kept out, then a second move: all at one path."""
+    work, orders = workspace(spark, "moves"), table(spark, sf_dir, "orders")
+    BulkMove(spark, _order_move("m1", _ONE_FROM, _ONE_TO), {"orders": orders}, work, ranges=2).run()
+    data, book = f"{work}/data/orders", f"{work}/ledger/orders"
+    stream = incremental.arrivals(spark, sf_dir, orders.schema, glob="orders.parquet")
+    incremental.run(stream, "m1", pr.ORDERS, pr.V1, pr.V2, data, book, f"{work}/checkpoint", [F.col("o_orderdate"), F.col("o_orderkey")]).awaitTermination()
+    BulkMove(spark, _order_move("m2", _ONE_TO, _TWO_TO), {"orders": orders}, work, ranges=2).run()
+    return ledger.transferred(spark, data, book).select("migration_id", "shard_key_value", "o_orderdate", "target_db")
+
+
+@query(f"""WITH RECURSIVE {_routed(_EVENTS_KEYED)} SELECT 'events' AS table_name, source_db, target_db, count(DISTINCT key_value) AS n_rows FROM routed WHERE source_db <> target_db AND ts >= TIMESTAMP '2023-01-01' AND ts < TIMESTAMP '2025-06-01' GROUP BY ALL""")
+def resumed_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A move that is stopped in the middle of its table, and resumed from its last range by another object."""
+    work, events = workspace(spark, "resumed"), {"events": table(spark, sf_dir, "events")}
+    move = Move("m1", pr.V1, pr.V2, datetime(2023, 1, 1), datetime(2025, 6, 1), (pr.EVENTS,))
+    first = BulkMove(spark, move, events, work, ranges=3)
+    first.run(waves=2)
+    first.stop()
+    return BulkMove(spark, move, events, work, ranges=3).resume()
+
+
 # ---- beyond the reference
 
 

@@ -66,16 +66,27 @@ def read_page(df: DataFrame, time: str, key: str, start: datetime, end: datetime
     return Page(rows, n, after_page, n < limit)
 
 
-def number_pages(df: DataFrame, within: list[Column], time: str, key: str, size: int) -> DataFrame:
-    """Adds page, from 0, to each row: its place among the rows of its range (``within``)."""
-    at = F.row_number().over(Window.partitionBy(*within).orderBy(*order(time, key)))
-    return df.withColumn("page", F.floor((at - 1) / size).cast("long"))
-
-
-def pages(df: DataFrame, within: list[Column], time: str, key: str, size: int) -> DataFrame:
+def number_pages(df: DataFrame, within: list[str], time: str, key: str, size: int, step: str = "month") -> DataFrame:
+    """Adds page, from 0, to each row: its place among the rows of its range (``within``).
+
+    A range is dealt out by ``step`` of the time, and each step's rows are
+    numbered on from the count of those before: no task sorts a whole range,
+    and the counts are a row for each range and step.
+    """
+    stepped = df.withColumn("_step", F.date_trunc(step, F.col(time)))
+    counts = stepped.groupBy(*within, "_step").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy(F.col("_step").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*[F.col(w).alias(f"_f{w}") for w in within], F.col("_step").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    met = stepped.join(F.broadcast(first), [F.col(w).eqNullSafe(F.col(f"_f{w}")) for w in within] + [F.col("_step").eqNullSafe(F.col("_f"))])
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*within, "_step").orderBy(*order(time, key)))
+    return met.withColumn("page", F.floor((at - 1) / size).cast("long")).drop("_step", "_f", "_before", *[f"_f{w}" for w in within])
+
+
+def pages(df: DataFrame, within: list[Column], time: str, key: str, size: int, step: str = "month") -> DataFrame:
     """Each page's rows, last cursor, and whether reading stops after it (it is not full)."""
     names = [f"_w{i}" for i in range(len(within))]
-    numbered = number_pages(df.withColumns(dict(zip(names, within, strict=True))), [F.col(n) for n in names], time, key, size)
+    narrow = df.select(time, key, *[c.alias(n) for n, c in zip(names, within, strict=True)])
+    numbered = number_pages(narrow, names, time, key, size, step)
     return numbered.groupBy(*names, "page").agg(F.count("*").alias("n_rows"), F.max(F.struct(F.col(time).alias("at"), F.col(key).alias("id"))).alias("last")).withColumn("exhausted", F.col("n_rows") < size)
 
 

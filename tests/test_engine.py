@@ -169,7 +169,7 @@ def test_commit_is_once_only_and_repeatable(spark, tmp_path):
 def test_data_without_ledger_entry_does_not_show(spark, tmp_path):
     data, book = f"file://{tmp_path}/data", f"file://{tmp_path}/ledger"
     ledger.commit(routed_rows(spark, [(1, "k1", "a", "db3")]), 0, data, book, "id", [F.col("id")])
-    routed_rows(spark, [(2, "k2", "b", "db3")]).drop("id").write.partitionBy("target_db").parquet(f"{data}/batch_id=1")  # broke off here
+    routed_rows(spark, [(2, "k2", "b", "db3")]).drop("id").write.partitionBy("target_db").parquet(f"{data}/writer=only/batch_id=1")  # broke off here
     assert [r.op_id for r in incremental.transferred(spark, data, book).collect()] == ["k1"]
     ledger.commit(routed_rows(spark, [(2, "k2", "b", "db3")]), 1, data, book, "id", [F.col("id")])
     assert sorted(r.op_id for r in incremental.transferred(spark, data, book).collect()) == ["k1", "k2"]
@@ -362,22 +362,139 @@ def test_bulk_move(spark, sf, tmp_path):
 def test_bulk_move_goes_on_after_a_break(spark, sf, tmp_path, monkeypatch):
     import shardloom.engine as engine
 
+    whole = bulk(spark, sf, f"file://{tmp_path}/whole")
+    expected = sorted(map(tuple, whole.run().collect()))
     job, honest, calls = bulk(spark, sf, f"file://{tmp_path}/out"), engine.commit, []
 
     def breaks(*args):
-        calls.append(args[1])
-        if len(calls) == 2:
+        calls.append(args[6])
+        if len(calls) == 3:
             raise RuntimeError("lost")
         honest(*args)
 
     monkeypatch.setattr(engine, "commit", breaks)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(RuntimeError, match="lost"):
         job.run()
     assert not job.complete()
-    with pytest.raises(RuntimeError):
+    with pytest.raises(RuntimeError, match="under way"):
         bulk(spark, sf, f"file://{tmp_path}/out", "other").start()
-    bulk(spark, sf, f"file://{tmp_path}/out").run()
-    assert calls == [0, 1, 1] and job.complete()
+    again = bulk(spark, sf, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, again.run().collect())) == expected
+    assert again.complete() and again.status() == "COMPLETED" and not again.state.exists(again.LOCK)
+    # only the range that broke off was run twice
+    assert len(calls) == 9 and len(set(calls)) == 8 and calls.count(calls[2]) == 2
+
+
+def test_stop_resume_and_status(spark, sf, tmp_path):
+    expected = sorted(map(tuple, bulk(spark, sf, f"file://{tmp_path}/whole").run().collect()))
+    job = bulk(spark, sf, f"file://{tmp_path}/out")
+    assert job.status() is None
+    with pytest.raises(RuntimeError):
+        job.stop()
+    job.run(waves=1)
+    assert job.status() == "RUNNING" and job.checkpoints().count() == 2 and not job.complete()
+    job.stop()
+    with pytest.raises(RuntimeError, match="resumed"):
+        job.run()
+    again = bulk(spark, sf, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, again.resume().collect())) == expected
+    assert again.status() == "COMPLETED" and job.tasks().count() == 0
+
+
+def test_a_lock_runs_out(spark, sf, tmp_path):
+    path, now = f"file://{tmp_path}/out", [datetime(2024, 1, 1)]
+    first, second = (bulk(spark, sf, path, i) for i in ("m1", "m2"))
+    first.clock = second.clock = lambda: now[0]
+    first.start()
+    with pytest.raises(RuntimeError):
+        second.start()
+    now[0] += timedelta(minutes=11)
+    second.start()
+    with pytest.raises(RuntimeError):
+        first.start()
+
+
+def test_a_late_worker_cannot_complete(spark, sf, tmp_path):
+    first, second = (bulk(spark, sf, f"file://{tmp_path}/out") for _ in range(2))
+    first.start()
+    first._plan()
+    held = first._claim()
+    second._release()
+    (taken, *_) = [t for t in second._claim() if t["task_id"] == held[0]["task_id"]]
+    assert taken["generation"] == 2 and taken["claim_token"] == second.token != held[0]["claim_token"]
+    with pytest.raises(RuntimeError, match="another"):
+        first._complete(held[0])
+    second._complete(taken)
+
+
+def test_writers_on_one_path_keep_each_others_rows(spark, sf, tmp_path, monkeypatch):
+    """Bulk, stream and a second move; each one's batch breaks off between data and ledger and is run again."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    routed = routing.moved(routing.route(orders, pr.ORDERS, pr.V1, pr.V2)).withColumns(ledger.ledger_key("m1", "orders"))
+    data, book, order = f"file://{tmp_path}/data", f"file://{tmp_path}/ledger", [F.col("o_orderkey")]
+    parts = [("m1.bulk", routed.where("o_orderkey % 3 = 0")), ("m1.stream", routed.where("o_orderkey % 3 < 2")), ("m2.bulk", routed.withColumn("migration_id", F.lit("m2")))]
+    honest = ledger.insert_rows
+    for writer, rows in parts:
+        broken = []
+
+        def breaks(df, name, broken=broken):
+            if not broken:
+                broken.append(1)
+                honest(df, name).limit(5).write.mode("overwrite").partitionBy("target_db").parquet(ledger._folder(data, writer, 0))
+                raise RuntimeError("lost")
+            return honest(df, name)
+
+        monkeypatch.setattr(ledger, "insert_rows", breaks)
+        with pytest.raises(RuntimeError):
+            ledger.commit(rows, 0, data, book, "o_orderkey", order, writer)
+        ledger.commit(rows, 0, data, book, "o_orderkey", order, writer)
+    got = incremental.transferred(spark, data, book).groupBy("migration_id").agg(F.count("*"), F.countDistinct("shard_key_value"))
+    n = {r[0]: r[1:] for r in got.collect()}
+    assert n["m1"] == (routed.where("o_orderkey % 3 < 2").count(),) * 2 and n["m2"] == (routed.count(),) * 2
+
+
+def test_sharded_sources(spark, sf, tmp_path):
+    """A table given shard by shard: a scope each, and the same rows."""
+    job = bulk(spark, sf, f"file://{tmp_path}/out")
+    expected = sorted(map(tuple, job.run().collect()))
+    by_shard = lambda df, spec: {s: routing.route(df, spec, pr.V1, pr.V2).where(F.col("source_db") == s).drop("source_db", "target_db", "key_field", "key_value") for s in pr.V1.ids}
+    other = bulk(spark, sf, f"file://{tmp_path}/by_shard")
+    other.sources = {"orders": by_shard(job.sources["orders"], pr.ORDERS), "events": by_shard(job.sources["events"], pr.EVENTS)}
+    assert sorted(map(tuple, other.run().collect())) == expected and other.checkpoints().count() == 4
+
+
+# ---- databases
+
+
+def test_jdbc(spark, sf, tmp_path):
+    """Read and write against an embedded database, quoted names and a retry included."""
+    from shardloom.sources import shards
+
+    url = lambda n: f"jdbc:derby:memory:{tmp_path.name}_{n};create=true"
+    source = spec.Shard("db1", url=url("s"))
+    shards.execute(spark, source.url, ['CREATE TABLE "ord" ("id" BIGINT, "order" VARCHAR(40), "at" TIMESTAMP)'])
+    shards.execute(spark, source.url, [f"INSERT INTO \"ord\" VALUES ({i}, 'k{i // 2}', {{ts '2024-01-01 {i % 24:02d}:00:00'}})" for i in range(40)])
+    read = shards.read_jdbc(spark, source, "ord", "at", [(datetime(2024, 1, 1, h), datetime(2024, 1, 1, h + 6)) for h in (0, 6, 12)])
+    assert read.rdd.getNumPartitions() == 3 and sorted(r.id for r in read.collect()) == [i for i in range(40) if i % 24 < 18]
+    with pytest.raises(ValueError):
+        shards.read_jdbc(spark, source, "ord", 'at" OR 1=1 --', [(datetime(2024, 1, 1), datetime(2024, 1, 2))])
+
+    targets = [spec.Shard(f"db{i}", url=url(f"t{i}")) for i in (3, 4, 5)]
+    for t in targets:
+        shards.execute(spark, t.url, ['CREATE TABLE "ord" ("order" VARCHAR(40), "at" TIMESTAMP)'])
+    first = ledger.first_wins(read.withColumns({"key_field": F.lit("order"), "key_value": F.col("order")}).withColumns(ledger.ledger_key("m1", "ord")), ledger.KEY, [F.col("id")])
+    rows = first.withColumn("target_db", F.when(F.col("id") % 4 == 0, "db3").otherwise("db4"))
+    n = shards.write_jdbc(rows, targets, "ord", "task-1", "id")
+    assert sum(n.values()) == rows.count() and n["db5"] == 0
+    assert shards.write_jdbc(rows, targets, "ord", "task-1", "id") == {"db3": 0, "db4": 0, "db5": 0}  # the same task again
+    more = rows.unionByName(rows.limit(1).withColumns({"order": F.lit("new"), "shard_key_value": F.lit("new"), "target_db": F.lit("db3")}))
+    assert shards.write_jdbc(more, targets, "ord", "task-2", "id")["db3"] == 1
+    held = [r for t in targets for r in spark.read.jdbc(t.url, '"ord"').collect()]
+    assert sorted(r.order for r in held) == sorted([r.order for r in rows.collect()] + ["new"])
+    # a transaction that fails leaves nothing
+    with pytest.raises(Exception):
+        shards.execute(spark, targets[0].url, ['DELETE FROM "ord"', 'DELETE FROM "no_such"'])
+    assert spark.read.jdbc(targets[0].url, '"ord"').count() == n["db3"] + 1
 
 
 def test_move_id():
