@@ -61,6 +61,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_table(df: DataFrame) -> None:
+    """Delete the files of a table that was ``written``, once nothing reads it any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        discard(df.sparkSession, folder)
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A narrow table, cut off and counted: sent to every executor by the joins that use it if it has at most ``most`` rows, else shuffled by them."""
+    df = durable(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Hadoop's file system, wherever the shared folder lives."""
     jvm = spark._jvm
@@ -68,6 +80,42 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file(spark, path)
+    return files.exists(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or nothing."""
+    at, files = _file(spark, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: it appears under its name by a rename."""
+    (at, files), draft = _file(spark, path), _file(spark, f"{path}.{uuid.uuid4().hex}")[0]
+    stream = files.create(draft, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    jvm = spark._jvm
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, at, replace)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

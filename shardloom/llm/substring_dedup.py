@@ -6,32 +6,46 @@ its own batch; every word that a repeat covers is removed. Windows are judged
 on the texts as they came in.
 
 The index holds each different window hash once, with the first document and
-word position that had it, as immutable runs: tables bucketed by hash range
+word position that had it, as immutable runs: files bucketed by hash range
 whose rows are sorted, compressed columns. A batch goes through these steps.
 
 1. Each task hashes the windows of its texts, sorts them, settles repeats among
    its own documents, and sends one entry for each different hash to the hash's
-   bucket: a passage found in every document costs one entry a task.
+   bucket: a passage found in every document costs one entry a task. Where
+   there are more buckets than a task deals to, entries are dealt twice, and
+   what meets on the way is settled there: a hash that every task has comes to
+   its bucket as one entry for each ``REGROUP_BYTES`` that passed.
 2. Each bucket merges the batch's entries with the runs' and sends the repeats
    to their document's shard. The runs are read bucket by bucket where they
    lie; only the batch is shuffled.
 3. Each shard joins neighbouring repeats to spans, each with its source's place.
 4. Verification: texts meet their spans, and a digest of the span's words must
-   equal that of the source's words; in the same pass repeats are removed. If
-   any span differs (two texts with one hash), the steps are run again with
-   those windows hashed by another function of their words.
-5. The batch's new hashes become a run. Runs of like size are compacted into
-   one, so a probe reads few of them and each entry is rewritten O(log) times.
+   equal that of the source's words; in the same pass repeats are removed. A
+   source is asked once for each different span, however many copied it. If any
+   span differs (two texts with one hash), the steps are run again with those
+   windows hashed by another function of their words.
+5. The batch's new hashes become a run. When the newest run has two thirds of
+   the size of the one before, the two are compacted into one, so a probe reads
+   few of them and each entry is rewritten O(log) times.
+
+An index with a path lives on: a later call, in another application too, opens
+it, judges its documents against all that came before, and leaves it with their
+windows. Its entries have 32 bits more of a second hash, because texts of
+earlier calls are not there to be compared; repeats are compared within the call
+and equal in 96 bits with earlier ones. When its buckets outgrow their bound,
+all runs are dealt into more. One writer at a time.
 
 Defined cases: a null text has no words; rows with a null id are returned whole
 and count for no other row; rows that share an id never count against each
-other, whether their texts are equal or not; texts under ``k`` words have no
+other within a call, whether their texts are equal or not; a document that is
+given to an index again is a repeat of itself; texts under ``k`` words have no
 window; an empty table gives an empty result; other columns pass through, but
 for those named as the result's.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b, sha256
@@ -45,7 +59,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hasher, discard, packed, scratch, sliced, split_words, unpacked
+from .common import Hasher, discard, durable, exists, packed, put_text, read_text, scratch, sliced, small, split_words, unpacked
 
 ENTRY, HIT, ALIAS, RUN = 0, 1, 2, 3
 #: Columns of packed rows: a place is a document, its tag and a word's position.
@@ -57,8 +71,9 @@ KINDS = {
     ALIAS: [*PLACE, ("first", "<u4")],
 }
 SPAN = [*KINDS[HIT], ("len", "<u4")]
-REQUEST = [("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("len", "<u4")]
 ROWS = "kind int, key int, blob binary"
+SPANS = f"{ROWS}, sdoc long, stag long, spos long, len long"
+SPANS_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("blob", pa.binary()), *[(c, pa.int64()) for c in ("sdoc", "stag", "spos", "len")]])
 
 Columns = dict[str, np.ndarray]
 #: (kind, key, blob)
@@ -89,7 +104,7 @@ def pack(table: Columns, kind: list[tuple[str, str]]) -> bytes:
         column = np.ascontiguousarray(table[name], dtype)
         if name == "hash":
             column = np.diff(column, prepend=column.dtype.type(0))
-        out.append(column.view(np.uint8).reshape(len(column), -1).T.tobytes())
+        out.append(column.view(np.uint8).reshape(len(column), column.dtype.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -140,8 +155,10 @@ def prime_from(n: int) -> int:
 class Plan:
     """What the steps share; small, and sent with each task's code."""
 
-    def __init__(self, k: int, buckets: int, tagged: bool, seed: int, suspects: np.ndarray):
-        self.k, self.buckets, self.tagged, self.seed, self.suspects = k, buckets, tagged, seed, suspects
+    def __init__(self, k: int, buckets: int, tagged: bool, seed: int, suspects: np.ndarray, checked: bool = False):
+        self.k, self.buckets, self.tagged, self.seed, self.suspects, self.checked = k, buckets, tagged, seed, suspects, checked
+        #: Of each kind's packed rows the columns; entries of an index that lives on have more of a hash.
+        self.kinds = KINDS | {kind: [*KINDS[kind], ("check", "<u4")] for kind in (ENTRY, RUN)} if checked else KINDS
         self.shift = np.uint64(64 - buckets.bit_length() + 1)
         self.shards = prime_from(buckets)
         self.wide = buckets > FAN
@@ -161,17 +178,41 @@ class Plan:
         return self.buckets + (fine % FAN if coarse and self.wide else fine)
 
     def deal(self, table: Columns, kind: int, coarse: bool = True) -> Iterator[Packed]:
-        return _dealt(table, kind, self.key(table, kind, coarse), KINDS[kind])
+        return _dealt(table, kind, self.key(table, kind, coarse), self.kinds[kind])
+
+    def same(self, table: Columns) -> np.ndarray:
+        """Of each row of a sorted table whether it has the hash of the one before."""
+        out = np.zeros(len(table["hash"]), bool)
+        out[1:] = table["hash"][1:] == table["hash"][:-1]
+        if self.checked:
+            out[1:] &= table["check"][1:] == table["check"][:-1]
+        return out
+
+    def by_hash(self, table: Columns, *then: str) -> np.ndarray:
+        """The order by hash, and by ``then``; ties as they came."""
+        columns = [*reversed(then), *(["check"] if self.checked else []), "hash"]
+        return np.argsort(table["hash"], kind="stable") if len(columns) == 1 else np.lexsort([table[c] for c in columns])
+
+    def settle(self, table: Columns) -> tuple[Columns, Columns]:
+        """The repeats among some entries, and the entries that are left for the bucket: of each hash those of the smallest document."""
+        table = take(table, self.by_hash(table, "doc", "tag", "pos"))
+        lead = ~self.same(table)
+        first = take(table, np.flatnonzero(lead)[np.cumsum(lead) - 1]) if len(lead) else table
+        later = table["doc"] > first["doc"]
+        return take(table, np.flatnonzero(later)) | {"s" + n: first[n][later] for n, _ in PLACE}, take(table, np.flatnonzero(~later))
 
-    def deal_again(self, rows: Iterator[Packed]) -> Iterator[Packed]:
+    def deal_again(self, rows: Iterator[Packed], settle: bool = False) -> Iterator[Packed]:
         """From ranges of buckets or shards to single ones; rows come sorted by (key, kind)."""
         at, blobs, size = None, [], 0
 
         def flush() -> Iterator[Packed]:
-            table = unpack(blobs, KINDS[at[1]])
+            table = unpack(blobs, self.kinds[at[1]])
+            if settle and at[1] == ENTRY:
+                hits, table = self.settle(table)
+                yield from self.deal(hits, HIT)
             if "hash" in table:
                 table = take(table, np.argsort(table["hash"], kind="stable"))
-            return self.deal(table, at[1], coarse=False)
+            yield from self.deal(table, at[1], coarse=False)
 
         for kind, key, blob in rows:
             if blobs and (at != (key, kind) or size >= REGROUP_BYTES):
@@ -199,14 +240,17 @@ class Plan:
         for i in np.flatnonzero(np.isin(hashes, self.suspects)) if len(self.suspects) else ():
             at = range(whole[i], whole[i] + self.k)  # this hash belongs to windows of different words
             hashes[i] = int.from_bytes(blake2b(b" ".join(bytes(data[starts[w] : ends[w]]) for w in at), digest_size=8).digest(), "little")
-        return {"hash": hashes, "doc": np.array([docs[i] for i in rows], np.int64)[row], "tag": tags[row], "pos": pos[whole].astype(np.uint32)}
+        out = {"hash": hashes, "doc": np.array([docs[i] for i in rows], np.int64)[row], "tag": tags[row], "pos": pos[whole].astype(np.uint32)}
+        if self.checked:
+            other = Hasher(self.seed + 1)
+            out["check"] = (other.windows(other.words(data, starts, ends), self.k)[whole] >> np.uint64(32)).astype(np.uint32)
+        return out
 
     def first_step(self, docs: list[int], texts: list[bytes]) -> Iterator[Packed]:
         """Entries for the buckets; repeats and windows that a document has twice, for the shards."""
         table = self.windows(docs, texts)
-        table = take(table, np.argsort(table["hash"], kind="stable"))
-        lead = np.ones(len(table["hash"]), bool)
-        lead[1:] = table["hash"][1:] != table["hash"][:-1]
+        table = take(table, self.by_hash(table))
+        lead = ~self.same(table)
         first = take(table, np.flatnonzero(lead)[np.cumsum(lead) - 1]) if len(lead) else table
         later = (table["doc"] > first["doc"]) & ~lead
         # of the leader's own document: settled with it. Another text of one id is judged apart.
@@ -222,7 +266,7 @@ class Plan:
     def merge(self, fresh: Columns, held: Columns) -> tuple[Columns, Columns]:
         """The repeats among ``fresh``, and the first place of every hash that is new."""
         old = len(held["hash"])
-        table = {n: np.concatenate((held[n], fresh[n])) for n, _ in KINDS[RUN]}
+        table = {n: np.concatenate((held[n], fresh[n])) for n, _ in self.kinds[RUN]}
         new = np.arange(len(table["hash"])) >= old
         order = np.argsort(table["hash"], kind="stable")
         h = table["hash"][order]
@@ -230,10 +274,10 @@ class Plan:
         same[1:-1] = h[1:] == h[:-1]
         shared = same[1:] | same[:-1]
         several = order[shared]  # only equal hashes are ordered any further
-        rank = np.lexsort((table["pos"][several], table["tag"][several], table["doc"][several], new[several], table["hash"][several]))
-        order[shared] = several[rank]
+        columns = [table["pos"], table["tag"], table["doc"], new, *([table["check"]] if self.checked else []), table["hash"]]
+        order[shared] = several[np.lexsort([c[several] for c in columns])]
         table, new = take(table, order), new[order]
-        lead = ~same[:-1]
+        lead = ~self.same(table)
         first = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(lead) else np.zeros(0, np.int64)
         repeat = new & ~lead & (~new[first] | (table["doc"][first] < table["doc"]))
         hits = take(table, np.flatnonzero(repeat)) | {"s" + n: table[n][first[repeat]] for n, _ in PLACE}
@@ -242,19 +286,19 @@ class Plan:
     def second_step(self, key: int, fresh: pa.Table, held: pa.Table | None, keep: bool) -> pa.Table:
         if key >= self.buckets:
             return fresh
-        hits, run = self.merge(unpack(blobs_of(fresh), KINDS[ENTRY]), unpack([] if held is None else blobs_of(held), KINDS[RUN]))
+        hits, run = self.merge(unpack(blobs_of(fresh), self.kinds[ENTRY]), unpack([] if held is None else blobs_of(held), self.kinds[RUN]))
         out = list(self.deal(hits, HIT))
         if keep and len(run["hash"]):
-            out.append((RUN, key, pack(run, KINDS[RUN])))
+            out.append((RUN, key, pack(run, self.kinds[RUN])))
         return _table(out)
 
-    def third_step(self, rows: pa.Table) -> Iterator[Packed]:
-        """Spans for the documents' shard (kind 0), and each different source's for the source's shard (kind 1)."""
+    def third_step(self, rows: pa.Table) -> pa.Table:
+        """Spans for the documents' shard (kind 0, packed), and the shard's different requests to sources (kind 1, a row each)."""
         kinds = rows.column("kind").to_numpy()
         hits = unpack(blobs_of(rows.filter(pa.array(kinds == HIT))), KINDS[HIT])
         twins = unpack(blobs_of(rows.filter(pa.array(kinds == ALIAS))), KINDS[ALIAS])
         if not len(hits["doc"]):
-            return
+            return pa.Table.from_arrays([pa.array([], f.type) for f in SPANS_ARROW], schema=SPANS_ARROW)
         row = distinct([np.concatenate((hits[n], twins[n])) for n in ("doc", "tag")])[1] << 32
         place = row[: len(hits["doc"])] | hits["pos"].astype(np.int64)
         order = np.argsort(place, kind="stable")
@@ -273,10 +317,12 @@ class Plan:
         begin[1:] = (np.diff(place) != 1) | (np.diff(hits["sdoc"]) != 0) | (np.diff(hits["stag"].astype(np.int64)) != 0) | (step != 1)
         at = np.flatnonzero(begin)
         spans = take(hits, at) | {"len": np.diff(np.append(at, len(place))).astype(np.uint32)}
-        yield 0, int(self.shard(spans["doc"][:1])[0]), pack(spans, SPAN)
         source = {n: spans["s" + n] for n, _ in PLACE} | {"len": spans["len"]}
-        source = take(source, distinct([source[n] for n, _ in REQUEST])[0])
-        yield from _dealt(source, 1, self.shard(source["doc"]), REQUEST)
+        source = take(source, distinct([source[n] for n in source])[0])
+        n = len(source["doc"])
+        own = [[0], [int(self.shard(spans["doc"][:1])[0])], [pack(spans, SPAN)], *[[None]] * 4]
+        asked = [np.ones(n, np.int32), self.shard(source["doc"]).astype(np.int32), [None] * n, *[source[c].astype(np.int64) for c in ("doc", "tag", "pos", "len")]]
+        return pa.Table.from_arrays([pa.concat_arrays([pa.array(a, f.type), pa.array(b, f.type)]) for a, b, f in zip(own, asked, SPANS_ARROW, strict=True)], schema=SPANS_ARROW)
 
 
 def _arrays(rows: Iterable[Packed]) -> list[pa.Array]:
@@ -296,15 +342,15 @@ def blobs_of(rows: pa.Table) -> list[bytes]:
     return rows.column("blob").to_pylist()
 
 
-def one_by_one(plan: Plan, rows: DataFrame) -> DataFrame:
-    """Packed rows by single bucket or shard; a second dealing where there are more than one task deals to."""
+def one_by_one(plan: Plan, rows: DataFrame, settle: bool = False) -> DataFrame:
+    """Packed rows by single bucket or shard; a second dealing, where entries can be settled, where there are more than one task deals to."""
     if not plan.wide:
         return rows
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (row for b in sliced(batches) for row in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "blob")), strict=True))
         held: list[Packed] = []
-        for row in plan.deal_again(each):
+        for row in plan.deal_again(each, settle):
             held.append(row)
             if len(held) >= 1024:
                 yield _batch(held)
@@ -341,7 +387,7 @@ def _clean(plan: Plan, with_text: bool):
     """The fourth step: rows sorted by shard, spans before texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, blobs, asked, spans, requests = None, [], [], None, None
+        shard, blobs, asked, spans = None, [], {}, None
         for batch in sliced(batches):
             seen: set[tuple] = set()
             keep, made, texts = [], [], []
@@ -349,21 +395,26 @@ def _clean(plan: Plan, with_text: bool):
             kinds, shards = column["_kind"].to_numpy(), column["_shard"].to_numpy()
             for i in range(batch.num_rows):
                 if shards[i] != shard:
-                    shard, blobs, asked, spans = int(shards[i]), [], [], None
-                if kinds[i] < 2:
-                    (asked if kinds[i] else blobs).append(column["_blob"][i].as_py())
+                    shard, blobs, asked, spans = int(shards[i]), [], {}, None
+                if kinds[i] == 0:
+                    blobs.append(column["_blob"][i].as_py())
+                    continue
+                if kinds[i] == 1:
+                    sdoc, stag, spos, n = (column[c][i].as_py() for c in ("_sdoc", "_stag", "_spos", "_len"))
+                    asked.setdefault((sdoc, stag), []).append((spos, n))
                     continue
                 if spans is None:
-                    spans, requests = _index_by_row(unpack(blobs, SPAN)), _index_by_row(unpack(asked, REQUEST))
+                    spans = _index_by_row(unpack(blobs, SPAN))
                 body = (column["_text"][i].as_py() or "").encode()
                 words, doc = body.split(), column["_doc"][i].as_py()
                 row = None if doc is None else (doc, plan.tag(body))
-                mine, for_others = spans.get(row), requests.get(row)
-                for table, source in ((mine, False), (for_others, True)):
-                    for j in range(0 if table is None else len(table["pos"])):
-                        pos, n = int(table["pos"][j]), int(table["len"][j])
-                        place = (*row, pos, n) if source else (int(table["sdoc"][j]), int(table["stag"][j]), int(table["spos"][j]), n)
-                        seen.add((*place, blake2b(b" ".join(words[pos : pos + n + plan.k - 1]), digest_size=16).digest(), not source))
+                mine = spans.get(row)
+                digest = lambda pos, n, words=words: blake2b(b" ".join(words[pos : pos + n + plan.k - 1]), digest_size=16).digest()
+                for pos, n in asked.get(row, ()):
+                    seen.add((*row, pos, n, digest(pos, n), False))
+                for j in range(0 if mine is None else len(mine["pos"])):
+                    n = int(mine["len"][j])
+                    seen.add((*(int(mine[c][j]) for c in ("sdoc", "stag", "spos")), n, digest(int(mine["pos"][j]), n), True))
                 gone = covered(len(words), mine, plan.k) if mine is not None else None
                 left = words if gone is None else list(compress(words, (~gone).tolist()))
                 # a text with nothing removed stays as it was, white space included
@@ -386,27 +437,50 @@ def _clean(plan: Plan, with_text: bool):
 
 
 class WindowIndex:
-    """The log-structured index: bucketed tables of runs, newest last."""
-
-    def __init__(self, spark: SparkSession, plan: Plan):
-        self.spark, self.plan = spark, plan
-        self.name = f"window_runs_{uuid4().hex}"
-        self.runs: list[tuple[str, int]] = []  # table, entries' bytes
-        self.files = min(plan.buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-        self.made = 0
-
-    def _save(self, rows: DataFrame) -> str:
-        table = f"{self.name}_{self.made}"
-        self.made += 1
-        rows.write.partitionBy("kind").bucketBy(self.files, "key").format("parquet").saveAsTable(table)
-        return table
+    """The log-structured index below a path: runs, newest last, and a manifest that names them and what they were made with."""
+
+    def __init__(self, spark: SparkSession, path: str, plan: Plan, runs: Iterable[tuple[str, int]] = (), files: int = 0, version: int = 0):
+        self.spark, self.path, self.plan, self.version = spark, path.rstrip("/"), plan, version
+        self.files = files or min(plan.buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+        self.runs: list[tuple[str, int]] = [tuple(r) for r in runs]  # folder, entries' bytes
+        self.spent: list[str] = []
+        self._names: list[str] = []
+
+    @classmethod
+    def manifest(cls, spark: SparkSession, path: str) -> dict | None:
+        text = read_text(spark, f"{path.rstrip('/')}/manifest.json")
+        return json.loads(text) if text else None
+
+    def keep(self) -> None:
+        """Let the present runs take effect for later calls; until then a call that breaks off has changed nothing."""
+        plan = self.plan
+        put_text(self.spark, f"{self.path}/manifest.json", json.dumps({"k": plan.k, "seed": plan.seed, "buckets": plan.buckets, "files": self.files, "runs": self.runs, "version": self.version + 1}))
+        for folder in self.spent:
+            discard(self.spark, f"{self.path}/{folder}")
+        for folder, _ in self.runs:  # the batches are judged
+            for kind in (HIT, ALIAS):
+                discard(self.spark, f"{self.path}/{folder}/kind={kind}")
+
+    def _table(self, folders: Iterable[str]) -> DataFrame:
+        """Some runs' entries as one table with buckets, a partition for each run. The files' names have the buckets, so that it can be opened anywhere."""
+        name = f"window_run_{uuid4().hex}"
+        self._names.append(name)
+        self.spark.sql(f"CREATE TABLE {name} (key INT, blob BINARY, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY (key) INTO {self.files} BUCKETS LOCATION '{self.path}/{name}'")
+        for folder in folders:
+            self.spark.sql(f"ALTER TABLE {name} ADD PARTITION (run = '{folder}') LOCATION '{self.path}/{folder}/kind={RUN}'")
+        return self.spark.table(name).select("key", "blob")
+
+    def _save(self, rows: DataFrame) -> tuple[str, int]:
+        """Write packed rows by kind and bucket; the folder, and its entries' bytes."""
+        folder, name = f"run-{uuid4().hex}", f"window_run_{uuid4().hex}"
+        rows.write.partitionBy("kind").bucketBy(self.files, "key").option("path", f"{self.path}/{folder}").option("compression", "none").format("parquet").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+        held = exists(self.spark, f"{self.path}/{folder}/kind={RUN}")
+        return folder, self.spark.read.schema("key int, blob binary").parquet(f"{self.path}/{folder}/kind={RUN}").agg(F.sum(F.octet_length("blob"))).first()[0] if held else 0
 
     def held(self) -> DataFrame | None:
-        tables = [self.spark.table(t).where(F.col("kind") == RUN).select("key", "blob") for t, _ in self.runs]
-        out = tables[0] if tables else None
-        for t in tables[1:]:
-            out = out.unionAll(t)
-        return out
+        folders = [folder for folder, size in self.runs if size]
+        return self._table(folders) if folders else None
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Judge a batch (columns _doc, _text) against the runs and itself, and take it in; returns packed repeats."""
@@ -425,65 +499,98 @@ class WindowIndex:
             if docs:
                 yield _batch(plan.first_step(docs, texts))
 
-        fresh = one_by_one(plan, docs.where(F.col("_doc").isNotNull()).select("_doc", "_text").mapInArrow(first, ROWS))
+        fresh = one_by_one(plan, docs.where(F.col("_doc").isNotNull()).select("_doc", "_text").mapInArrow(first, ROWS), settle=True)
         held = self.held()
         if held is None:
             merged = fresh.groupBy("key").applyInArrow(lambda key, rows: plan.second_step(key[0].as_py(), rows, None, keep), ROWS)
         else:
             # a bucket without fresh entries has nothing to say
             merged = fresh.groupBy("key").cogroup(held.groupBy("key")).applyInArrow(lambda key, rows, old: plan.second_step(key[0].as_py(), rows, old, keep) if len(rows) else _table(()), ROWS)
-        if not keep:
-            return merged.where(F.col("kind") != RUN)
-        table = self._save(merged)
-        size = self.spark.table(table).where(F.col("kind") == RUN).agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
-        self.runs.append((table, size))
-        return self.spark.table(table).where(F.col("kind") != RUN).select("kind", "key", "blob")
+        folder, size = self._save(merged)
+        if keep:
+            self.runs.append((folder, size))
+        else:
+            self.spent.append(folder)
+        hits = [f"{self.path}/{folder}/kind={kind}" for kind in (HIT, ALIAS) if exists(self.spark, f"{self.path}/{folder}/kind={kind}")]
+        if not hits:
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema("key int, blob binary, kind int").option("basePath", f"{self.path}/{folder}").parquet(*hits).select("kind", "key", "blob")
+
+    def _merge(self, folders: list[str]) -> tuple[str, int]:
+        """One run of two. Bucket meets bucket; nothing is shuffled."""
+        plan = self.plan
+
+        def join(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+            parts = unpack([*blobs_of(a), *blobs_of(b)], plan.kinds[RUN])  # the hashes of two runs differ
+            return _table([(RUN, key[0].as_py(), pack(take(parts, plan.by_hash(parts)), plan.kinds[RUN]))])
+
+        old, new = (self._table([f]).groupBy("key") for f in folders)
+        return self._save(old.cogroup(new).applyInArrow(join, ROWS))
 
     def compact(self, always: bool = False) -> None:
-        """Merge the newest runs while the newer is at least half as large as the older. Bucket meets bucket; nothing is shuffled."""
-        while len(self.runs) > 1 and (always or 2 * self.runs[-1][1] >= self.runs[-2][1]):
-            (old, _), (new, _) = self.runs[-2:]
+        """Merge the newest runs while the newer has at least two thirds of the size of the older."""
+        self.runs = [r for r in self.runs if r[1]] or self.runs[:1]
+        while len(self.runs) > 1 and (always or 3 * self.runs[-1][1] >= 2 * self.runs[-2][1]):
+            folders = [f for f, _ in self.runs[-2:]]
+            self.runs[-2:] = [self._merge(folders)]
+            self.spent += folders
+
+    def grow(self, most: int) -> None:
+        """Deal all runs into more buckets when they hold over ``most`` bytes each."""
+        total, buckets = sum(n for _, n in self.runs), self.plan.buckets
+        while buckets * most < total:
+            buckets *= 2
+        if buckets == self.plan.buckets:
+            return
+        plan = self.plan = Plan(self.plan.k, buckets, self.plan.tagged, self.plan.seed, self.plan.suspects, self.plan.checked)
+        held = self.held()
 
-            def join(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-                parts = unpack([*blobs_of(a), *blobs_of(b)], KINDS[RUN])  # the hashes of two runs differ
-                return _table([(RUN, key[0].as_py(), pack(take(parts, np.argsort(parts["hash"], kind="stable")), KINDS[RUN]))])
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column("blob").to_pylist():
+                    yield _batch(plan.deal(unpack([blob], plan.kinds[RUN]), RUN, coarse=False))
 
-            read = lambda t: self.spark.table(t).where(F.col("kind") == RUN).select("key", "blob").groupBy("key")
-            table = self._save(read(old).cogroup(read(new)).applyInArrow(join, ROWS))
-            size = self.spark.table(table).agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
-            self.runs[-2:] = [(table, size)]
-            # the repeats in the old tables are wanted until the batches are judged
-            self.spent = [*getattr(self, "spent", []), old, new]
+        def join(key: tuple, rows: pa.Table) -> pa.Table:
+            parts = unpack(blobs_of(rows), plan.kinds[RUN])
+            return _table([(RUN, key[0].as_py(), pack(take(parts, plan.by_hash(parts)), plan.kinds[RUN]))])
 
-    def drop(self) -> None:
-        for table in [*(t for t, _ in self.runs), *getattr(self, "spent", [])]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self.runs, self.spent = [], []
+        made = self._save(held.select("blob").mapInArrow(deal, ROWS).groupBy("key").applyInArrow(join, ROWS))
+        self.spent += [f for f, _ in self.runs]
+        self.runs = [made]
 
+    def close(self) -> None:
+        """Forget the tables; the files stay."""
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, f"{self.path}/{name}")
+        self._names = []
 
-def _spans(rows: DataFrame, plan: Plan, bounds: list[int], path: str) -> None:
+
+def _spans(rows: DataFrame, index: WindowIndex, bounds: list[int], path: str, keep_all: bool) -> None:
     """Steps one to three: take in the batches, and write the spans of repeats."""
-    index = WindowIndex(rows.sparkSession, plan)
-    edges, found = [None, *bounds, None], None
+    plan, edges, found = index.plan, [None, *bounds, None], None
     for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         part = rows if low is None else rows.where(F.col("_doc") > low)
         part = part if high is None else part.where(F.col("_doc") <= high)
-        last = i == len(bounds)  # nothing follows that would probe its run
-        hits = index.add(part, keep=not last)
-        if not last:
+        keep = keep_all or i < len(bounds)  # nothing follows the last that would probe its run
+        hits = index.add(part, keep)
+        if keep:
             index.compact()
         found = hits if found is None else found.unionAll(hits)
-    one_by_one(plan, found).groupBy("key").applyInArrow(lambda rows: _table(plan.third_step(rows)), ROWS).write.parquet(path)
-    index.drop()
+    one_by_one(plan, found).groupBy("key").applyInArrow(lambda rows: plan.third_step(rows), SPANS).write.parquet(path)
 
 
 def _fourth_step(rows: DataFrame, plan: Plan, spans: str, with_text: bool) -> DataFrame:
     """Texts with their spans: judged, cleaned and written in one pass."""
     spark, rest = rows.sparkSession, rows.schema["_rest"].dataType
     null = lambda name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
-    given = spark.read.schema(ROWS).parquet(spans).select(*[null(c) for c in rows.columns], F.col("blob").alias("_blob"), F.col("kind").alias("_kind"), F.col("key").alias("_shard"))
+    asked = ["sdoc", "stag", "spos", "len"]
+    # a much-copied source is asked by every shard: each different request goes on once
+    given = spark.read.schema(SPANS).parquet(spans)
+    given = given.where("kind = 0").select("blob", "kind", "key", *asked).unionAll(given.where("kind = 1").select(F.lit(None).cast("binary"), "kind", "key", *asked).distinct())
+    given = given.select(*[null(c) for c in rows.columns], F.col("blob").alias("_blob"), *[F.col(c).alias(f"_{c}") for c in asked], F.col("kind").alias("_kind"), F.col("key").alias("_shard"))
     shard = F.coalesce(F.pmod(F.col("_doc"), F.lit(plan.shards)), F.lit(0)).cast("int")
-    placed = rows.select("*", F.lit(None).cast("binary").alias("_blob"), F.lit(2).alias("_kind"), shard.alias("_shard")).unionAll(given)
+    placed = rows.select("*", F.lit(None).cast("binary").alias("_blob"), *[F.lit(None).cast("long").alias(f"_{c}") for c in asked], F.lit(2).alias("_kind"), shard.alias("_shard")).unionAll(given)
     kinds = ["long", "long", "string", "string"][: 3 + with_text]
     schema = T.StructType([T.StructField("_rest", rest)])
     for name, kind in [*zip(OUT, kinds), *[(c, {"bool": "boolean", "binary": "binary"}.get(str(t), "long")) for c, t in CHECKED]]:  # noqa: B905
@@ -494,32 +601,30 @@ def _fourth_step(rows: DataFrame, plan: Plan, spans: str, with_text: bool) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def _shared_hashes(rows: DataFrame, plan: Plan, bad: list) -> np.ndarray:
-    """The hashes of the windows that begin at the failed spans' sources."""
-    places = {}
-    for sdoc, stag, spos, n in bad:
-        places.setdefault((sdoc, stag), set()).update(range(spos, spos + n))
+def _shared_hashes(rows: DataFrame, plan: Plan, bad: DataFrame) -> np.ndarray:
+    """The hashes of the windows that begin at the failed spans' sources: about one in 10**10 windows."""
+    places = bad.groupBy(F.col("_sdoc").alias("_doc")).agg(F.collect_list(F.struct("_stag", "_spos", "_len")).alias("at"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = plan.windows(batch.column("_doc").to_pylist(), [(t or "").encode() for t in batch.column("_text").to_pylist()])
-            mine = [int(h) for h, d, t, p in zip(*(table[n].tolist() for n in ("hash", "doc", "tag", "pos")), strict=True) if p in places.get((d, t), ())]
+        for batch in sliced(batches):
+            docs, texts, at = (batch.column(c).to_pylist() for c in ("_doc", "_text", "at"))
+            table = plan.windows(docs, [(t or "").encode() for t in texts])
+            wanted = {(d, p["_stag"], p["_spos"] + j) for d, ps in zip(docs, at, strict=True) for p in ps for j in range(p["_len"])}
+            mine = [h for h, *place in zip(*(table[n].tolist() for n in ("hash", "doc", "tag", "pos")), strict=True) if tuple(place) in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(mine, np.uint64).view(np.int64))], names=["h"])
 
-    found = rows.where(F.col("_doc").isin([d for d, _ in places])).select("_doc", "_text").mapInArrow(find, "h long").distinct().collect()
-    return np.array([r.h for r in found], np.int64).view(np.uint64)
-
+    found = rows.select("_doc", "_text").join(small(places), "_doc").select("_doc", "_text", "at").mapInArrow(find, "h long").distinct().toArrow()
+    return found["h"].to_numpy().astype(np.int64).view(np.uint64)
 
-#: Spans that may fail the comparison of words in one run; about one window in 10**10 is expected to.
-MOST_FAILED = 100_000
 
-
-def deduplicate(docs: DataFrame, k: int = 13, batches: int = 2, text: str = "text", key: str = "doc_id", with_text: bool = False, seed: int = 1) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 13, batches: int = 4, text: str = "text", key: str = "doc_id", with_text: bool = False, seed: int = 1, index: str | None = None) -> DataFrame:
     """The rows of ``docs`` without the column ``text``, with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     The documents are taken in by ``batches`` batches of rising ids. kept_text
     is the text itself where nothing is removed, else the kept words joined by
-    a space; kept_sha256 is always of the kept words.
+    a space; kept_sha256 is always of the kept words. index: a folder of the
+    shared file system, whose index (none at first) they are judged against and
+    taken into; without it the index ends with the call.
     """
     rows = docs.select(packed(docs, [text, *OUT]).alias("_rest"), F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("_doc"))
     body = F.coalesce(F.col("_text"), F.lit(""))
@@ -528,21 +633,42 @@ def deduplicate(docs: DataFrame, k: int = 13, batches: int = 2, text: str = "tex
     cuts = F.array(*[F.lit(i / max(batches, 2)) for i in range(1, max(batches, 2))])
     clash = (F.col("lo") != F.col("hi")) & F.col("_doc").isNotNull()
     total, clashes, bounds = each.agg(F.sum("n"), F.max(clash), F.percentile_approx("_doc", cuts, 10000)).first()
-    buckets = buckets_for(total or 0)
+    spark, buckets = docs.sparkSession, buckets_for(total or 0)
     bounds, suspects = sorted(set(bounds or [])) if batches > 1 else [], np.zeros(0, np.uint64)
-    spark = docs.sparkSession
+    known = WindowIndex.manifest(spark, index) if index else None
+    if known and known["k"] != k:
+        raise ValueError(f"the index is of windows of {known['k']} words")
     while True:
-        plan, spans = Plan(k, buckets, bool(clashes), seed, suspects), scratch(spark, "spans")
-        _spans(rows, plan, bounds, spans)
-        result = _fourth_step(rows, plan, spans, with_text)
-        discard(spark, spans)
-        # each span's words must be its source's words
-        told = result.where("_digest IS NOT NULL").groupBy("_sdoc", "_stag", "_spos", "_len")
-        told = told.agg(F.min("_digest").alias("lo"), F.max("_digest").alias("hi"), F.bool_and("_asked").alias("alone"))
-        bad = [tuple(r) for r in told.where("lo <> hi OR alone").select("_sdoc", "_stag", "_spos", "_len").limit(MOST_FAILED + 1).collect()]
-        if not bad:
-            return result.where("_digest IS NULL").select(*unpacked("_rest", docs, [text, *OUT]), *OUT[: 3 + with_text])
-        if len(bad) > MOST_FAILED:
-            raise RuntimeError("too many windows share a hash with others; choose another seed")
-        discard(spark, result.inputFiles()[0].rsplit("/", 1)[0])
-        suspects = np.union1d(suspects, _shared_hashes(rows, plan, bad))
+        spans, path = scratch(spark, "spans"), index or scratch(spark, "index")
+        if known:
+            made = WindowIndex(spark, path, Plan(k, known["buckets"], True, known["seed"], suspects, True), known["runs"], known["files"], known["version"])
+        else:
+            made = WindowIndex(spark, path, Plan(k, buckets, bool(clashes) or index is not None, seed, suspects, index is not None))
+        plan = made.plan
+        try:
+            if known:
+                made.grow(MOST_BUCKET_BYTES)
+                plan = made.plan
+            _spans(rows, made, bounds, spans, index is not None)
+            result = _fourth_step(rows, plan, spans, with_text)
+            # each span's words must be its source's words
+            told = result.where("_digest IS NOT NULL").groupBy("_sdoc", "_stag", "_spos", "_len")
+            told = told.agg(F.min("_digest").alias("lo"), F.max("_digest").alias("hi"), F.bool_and("_asked").alias("alone"))
+            # a source of an earlier call has no text here
+            bad = durable(told.where("lo <> hi" if index else "lo <> hi OR alone").select("_sdoc", "_stag", "_spos", "_len"))
+            if bad.isEmpty():
+                if index:
+                    made.keep()
+                return result.where("_digest IS NULL").select(*unpacked("_rest", docs, [text, *OUT]), *OUT[: 3 + with_text])
+            if index:
+                raise RuntimeError("two texts agree in 96 bits of a window's hash: build the index with another seed")
+            discard(spark, result.inputFiles()[0].rsplit("/", 1)[0])
+            more = np.union1d(suspects, _shared_hashes(rows, plan, bad))
+            if len(more) == len(suspects):
+                raise RuntimeError("words differ, but no window's hash is shared: the texts changed between two readings")
+            suspects = more
+        finally:
+            made.close()
+            discard(spark, spans)
+            if not index:
+                discard(spark, path)
