@@ -376,7 +376,7 @@ def test_branch_and_bound_equals_brute_force(monkeypatch):
         grid = np.floor(rng.normal(0, 60, (width, n)) * np.geomspace(8, 0.1, width)[:, None] if width else np.zeros((0, n)))
         ids = rng.permutation(n)
         queries_at = np.arange(0, n, 17)
-        parts = [(ids[at : at + 60], grid[:, at : at + 60]) for at in range(0, n, 60)]
+        parts = [topk.Block(ids[at : at + 60], grid[:, at : at + 60]) for at in range(0, n, 60)]
         q, found, score = topk.search_blocks(ids[queries_at], grid[:, queries_at], parts, 5)
         for row, at in enumerate(queries_at):
             s = grid.T @ grid[:, at]
