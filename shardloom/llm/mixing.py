@@ -8,6 +8,11 @@ several epochs takes whole ones, and of the last the prefix of a seeded order:
 documents, in the order of their MD5 with the seed and the epoch, as long as
 their tokens fit.
 
+Trees of up to ``MOST_LEAVES`` leaves are planned on the driver; larger ones, as
+with hosts for sources, by grouped aggregations level by level, to the same
+budgets: in each round every family's open children that can't use their share
+are closed at their supply, until none is.
+
 The prefix is found without sorting a leaf: tokens are summed by leaf and by
 hash range, the running sums over the ranges give the range where the budget
 ends, and only that range's documents are ordered. The result is a filter on
@@ -23,6 +28,7 @@ not be negative; an empty table gives an empty result; a column named
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -34,7 +40,7 @@ from .common import WORD, durable, packed, unpacked
 
 #: Hexadecimal digits that name a hash range: 4,096 ranges to a leaf.
 RANGE_DIGITS = 3
-#: Leaves that a tree may have: the tree is a setting, not data.
+#: Leaves that the driver plans and sends to every executor; more are planned and joined by shuffles.
 MOST_LEAVES = 100_000
 
 Path = tuple
@@ -80,6 +86,39 @@ def budgets(total: int, tokens: Mapping[Path, int], weights: Mapping[Path, float
     return down(total, sorted(tokens, key=repr), 0)
 
 
+def _meet(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """The left rows with the other columns of the right row of the same names, nulls included."""
+    other = right.select(*[F.col(n).alias(f"{n}_") for n in names], *[c for c in right.columns if c not in names])
+    met = left.join(other, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names], how) if names else left.crossJoin(other)  # without names the right has one row
+    return met.drop(*[f"{n}_" for n in names])
+
+
+def budgets_by_level(leaves: DataFrame, names: list[str], total: int, weights: Mapping[Path, float], epochs: int) -> DataFrame:
+    """The same as ``budgets`` for leaves (``names``, tokens) in any number: each with its budget."""
+    big = "decimal(38,0)"
+    scale = math.lcm(*[Fraction(w).denominator for w in weights.values()]) if weights else 1
+    above: DataFrame | None = None
+    for depth in range(1, len(names) + 1):
+        own, family = names[:depth], names[: depth - 1]
+        nodes = leaves.groupBy(*own).agg((F.sum("tokens").cast(big) * epochs).cast(big).alias("supply"))
+        stated = [(*path, int(Fraction(w) * scale)) for path, w in weights.items() if len(path) == depth]
+        table = leaves.sparkSession.createDataFrame(stated, T.StructType([T.StructField(n, T.StringType()) for n in own]).add("weight", "long"))
+        nodes = _meet(nodes, F.broadcast(table), own, "left").withColumn("weight", F.coalesce("weight", F.lit(scale)).cast(big))
+        if above is None:
+            nodes = nodes.withColumn("given", F.lit(total).cast(big))
+        else:
+            nodes = _meet(nodes, above.withColumnRenamed("budget", "given"), family)
+        nodes = durable(nodes.withColumn("closed", F.col("weight") <= 0).withColumn("got", F.lit(0).cast(big)))
+        while True:
+            state = nodes.groupBy(*family).agg((F.first("given") - F.sum("got")).cast(big).alias("left"), F.sum(F.when(~F.col("closed"), F.col("weight")).otherwise(0)).cast(big).alias("open"))
+            met = durable(_meet(nodes, state, family).withColumn("full", ~F.col("closed") & F.expr("left * weight >= supply * open")))
+            if met.where("full").isEmpty():
+                above = met.select(*own, F.when(F.col("closed"), F.col("got")).otherwise(F.expr("(left * weight) div open")).cast(big).alias("budget"))
+                break
+            nodes = met.select(*own, "supply", "weight", "given", (F.col("closed") | F.col("full")).alias("closed"), F.when(F.col("full"), F.col("supply")).otherwise(F.col("got")).alias("got"))
+    return above.withColumn("budget", F.col("budget").cast("long"))
+
+
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, float], fraction: float = 1.0, epochs: int = 4, seed: int = 0, tokens: Column | None = None, key: str = "doc_id") -> DataFrame:
     """The chosen rows of ``docs``, once for each epoch they are in, with the column epoch.
 
@@ -90,15 +129,22 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, fl
     value = [c.cast("string").alias(n) for n, c in zip(names, levels.values(), strict=True)]
     count = tokens if tokens is not None else n_words(F.col("text"))
     rows = durable(docs.select(F.col(key).alias("_key"), *value, count.alias("_tokens")))  # narrow: read three times
-    leaves = rows.groupBy(*names).agg(F.sum("_tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
-    if len(leaves) > MOST_LEAVES:
-        raise ValueError(f"the tree has over {MOST_LEAVES} leaves")
-    supply = {tuple(r[n] for n in names): r["tokens"] for r in leaves}
-    plan = budgets(int(Fraction(str(fraction)) * sum(supply.values())), supply, weights, epochs)
-    table = [(*leaf, *(divmod(plan[leaf], n) if (n := supply[leaf]) else (1, 0))) for leaf in plan]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]).add("_whole", "long").add("_rest", "long")
-    # one row a leaf: bounded by MOST_LEAVES
-    leaf = F.broadcast(spark.createDataFrame(table, schema))
+    held = durable(rows.groupBy(*names).agg(F.sum("_tokens").alias("tokens")))
+    leaves = held.limit(MOST_LEAVES + 1).collect()
+    few = len(leaves) <= MOST_LEAVES
+    sent = F.broadcast if few else lambda df: df  # what has one row a leaf
+    if few:
+        supply = {tuple(r[n] for n in names): r["tokens"] for r in leaves}
+        plan = budgets(int(Fraction(str(fraction)) * sum(supply.values())), supply, weights, epochs)
+        table = [(*leaf, *(divmod(plan[leaf], n) if (n := supply[leaf]) else (1, 0))) for leaf in plan]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names]).add("_whole", "long").add("_rest", "long")
+        leaf = F.broadcast(spark.createDataFrame(table, schema))
+    else:
+        total = held.agg(F.sum("tokens")).first()[0] or 0
+        planned = budgets_by_level(held, names, int(Fraction(str(fraction)) * total), weights, epochs)
+        met = _meet(held, planned, names)
+        some = F.col("tokens") > 0
+        leaf = durable(met.select(*names, F.when(some, F.expr("budget div tokens")).otherwise(1).alias("_whole"), F.when(some, F.col("budget") % F.col("tokens")).otherwise(0).alias("_rest")))
 
     def at_leaf(df: DataFrame, other: DataFrame) -> DataFrame:
         met = [df[n].eqNullSafe(other[n]) for n in names]
@@ -113,7 +159,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, fl
     sums = placed.groupBy(*names, "_range", "_rest").agg(F.sum("_tokens").alias("n")).withColumn("upto", F.sum("n").over(running))
     # the range in which the budget ends, and what is left for it; a row a leaf
     cut = durable(sums.where("upto > _rest").groupBy(*names).agg(F.min(F.struct("_range", (F.col("_rest") - F.col("upto") + F.col("n")).alias("left"))).alias("cut")).select(*names, F.col("cut._range").alias("_cut"), F.col("cut.left").alias("_left")))
-    edge = at_leaf(placed, F.broadcast(cut)).where("_range = _cut")
+    edge = at_leaf(placed, sent(cut)).where("_range = _cut")
     within = Window.partitionBy(*names).orderBy("_order", "_key")  # rows of one id are peers
     fits = edge.withColumn("upto", F.sum("_tokens").over(within)).where("upto <= _left")
     last = fits.groupBy(*names).agg(F.max(F.struct("_order", "_key")).alias("_last"))
@@ -122,7 +168,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[Path, fl
     whole = docs.select(packed(docs, ["epoch"]).alias("_row"), F.col(key).alias("_key"), *value)
     whole = place(at_leaf(whole, leaf), "_key")
     met = [whole[n].eqNullSafe(ends[n]) for n in names]
-    whole = whole.join(F.broadcast(ends), met, "left")
+    whole = whole.join(sent(ends), met, "left")
     mine = F.struct("_order", F.col("_key"))
     inside = F.col("_cut").isNull() | (F.col("_range") < F.col("_cut")) | ((F.col("_range") == F.col("_cut")) & F.coalesce(mine <= F.col("_last"), F.lit(False)))
     times = F.col("_whole").cast("int") + F.when(inside & (F.col("_rest") > 0), 1).otherwise(0)
