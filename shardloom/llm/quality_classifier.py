@@ -2,7 +2,9 @@
 
 Document evidence: a logistic regression over word presence and a few
 measures of style, fitted on a bounded sample of labelled documents (the
-``max_labelled`` smallest hashes of their ids). A document is good if its
+``max_labelled`` smallest hashes of their ids, of those as many in that order as
+have ``max_bytes`` of features together), with weights for at most ``max_words``
+words. A document is good if its
 quality label is 1 and its toxicity label is not.
 
 Site evidence: the documents' probabilities are summed by host and by path
@@ -30,13 +32,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Hasher, append_columns, chunks, durable, mix64, packed, scratch, split_words, unpacked
 
-#: Bins that words are hashed to, and the most of them that the model has weights for.
-BINS, MOST_WORDS = 1 << 18, 512
+#: Bins that words are hashed to.
+BINS = 1 << 18
 STYLE = 12
 #: Bytes of a word's beginnings that count beside the word.
 PREFIXES = (4, 5, 6)
@@ -113,7 +115,7 @@ def _newton(x: np.ndarray, good: np.ndarray, penalty: np.ndarray, rounds: int =
     return w
 
 
-def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int, ridge: float = 1.0) -> Model:
+def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int, ridge: float = 1.0, max_words: int = 512) -> Model:
     """A regression on the style, then on the style and the words that explain most of what it left (by the score test)."""
     n, n_good = len(good), int(good.sum())
     if not 0 < n_good < n:
@@ -127,7 +129,7 @@ def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int
         left[mine] += y - q
         spread[mine] += q * (1 - q)
     z = np.where(count >= LEAST_DOCS, np.abs(left) / np.sqrt(spread + 0.05), 0)
-    bins = np.sort(np.argsort(-z, kind="stable")[: min(MOST_WORDS, int((z >= LEAST_Z).sum()))])
+    bins = np.sort(np.argsort(-z, kind="stable")[: min(max_words, int((z >= LEAST_Z).sum()))])
     x = np.zeros((n, STYLE + len(bins)), np.float32)
     x[:, :STYLE] = styles
     for i, mine in enumerate(words):
@@ -136,8 +138,12 @@ def fit(styles: np.ndarray, words: list[np.ndarray], good: np.ndarray, seed: int
     return Model(w[:STYLE], bins, w[STYLE:], seed)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 12_000, seed: int = 7) -> Model:
-    """A model fitted on at most ``max_labelled`` labelled documents; only their features reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 12_000, seed: int = 7, max_words: int = 512, max_bytes: int = 64 << 20) -> Model:
+    """A model fitted on a bounded sample of labelled documents; only their features reach the driver.
+
+    The bounds are parameters: ``max_labelled`` documents, ``max_bytes`` of their
+    features, ``max_words`` words with weights.
+    """
     told = labels.where("quality IS NOT NULL").groupBy(F.col(key).alias("_id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
     chosen = told.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_labelled)  # the bound
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "good", "_text")
@@ -147,10 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return [pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.astype(np.int32).tobytes() for _, w in found], pa.binary())]
 
     made = durable(append_columns(rows, ["_text"], [("style", "binary"), ("words", "binary")], compute))
+    upto = F.sum(F.octet_length("words") + F.octet_length("style")).over(Window.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id"))  # max_labelled rows, about
+    made = made.withColumn("upto", upto).where(F.col("upto") <= max_bytes)
     # a partition at a time, in an order that doesn't depend on the tasks'
     found = sorted((str(r["_id"]), bytes(r["words"]), bytes(r["style"]), r["good"]) for r in made.toLocalIterator())
     styles = np.array([np.frombuffer(r[2], np.float64) for r in found]).reshape(len(found), STYLE)
-    return fit(styles, [np.frombuffer(r[1], np.int32) for r in found], np.array([r[3] for r in found], float), seed)
+    return fit(styles, [np.frombuffer(r[1], np.int32) for r in found], np.array([r[3] for r in found], float), seed, max_words=max_words)
 
 
 def _logit(p):
