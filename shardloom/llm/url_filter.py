@@ -23,6 +23,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,23 @@ def ship(spark: SparkSession, stem: str) -> str:
     return os.path.basename(stem)
 
 
+_shipped: dict[tuple, str] = {}
+
+
+def shipped(spark: SparkSession, rules: list[Rule]) -> str:
+    """The name of the rules' map; the same rules are built and sent once for each application."""
+    key = (spark.sparkContext.applicationId, *(r.name for r in rules))
+    if key not in _shipped:
+        _shipped[key] = ship(spark, DigestArray.build([(rule.name, i) for i, rule in enumerate(rules)], tempfile.mkdtemp(prefix="shardloom-rules-")))
+    return _shipped[key]
+
+
+@lru_cache(maxsize=4)
+def opened(stem: str) -> DigestArray:
+    """A map that a worker keeps open."""
+    return DigestArray(stem)
+
+
 def candidates(host: str, path: str, lengths: Iterable[int]) -> Iterator[str]:
     """Host suffixes with path prefixes, the longest together first, ties to the longer host."""
     hosts, rest = [], host
@@ -118,8 +136,7 @@ def candidates(host: str, path: str, lengths: Iterable[int]) -> Iterator[str]:
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", default: str = "allow") -> DataFrame:
     """Of each row: the key, host, path, rule (null if none fits) and verdict (that rule's, else ``default``)."""
     spark = pages.sparkSession
-    stem = DigestArray.build([(rule.name, i) for i, rule in enumerate(rules)], tempfile.mkdtemp(prefix="shardloom-rules-"))
-    name = ship(spark, stem)
+    name = shipped(spark, rules)
     lengths = sorted({len(rule.path) for rule in rules}, reverse=True)
     after = F.when(F.instr(F.col(url).cast("string"), "://") > 0, F.expr(f"substring(cast(`{url}` AS string), instr(cast(`{url}` AS string), '://') + 3)"))
     host = F.coalesce(F.translate(F.regexp_extract(after, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
@@ -127,7 +144,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "pag
     names, verdicts = [r.name for r in rules], [r.verdict for r in rules]
 
     def probe(hosts: list[str], paths: list[str]) -> list[pa.Array]:
-        table = DigestArray(os.path.join(os.path.dirname(SparkFiles.get(f"{name}.keys")), name))
+        table = opened(os.path.join(os.path.dirname(SparkFiles.get(f"{name}.keys")), name))
         asked, ends = [], [0]
         for h, p in zip(hosts, paths, strict=True):
             asked += [text.encode() for text in candidates(h, p, lengths)]
