@@ -6,7 +6,9 @@ an as-of join), progress by walking, and so on, so that agreement is evidence.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,11 +20,11 @@ from .functions import hashing, naming
 from .operators import ledger, routing, scan
 from .plans import extensions, planner, progress, state
 from .sources import state_store
-from .engine import BulkMove
+from .engine import BulkMove, move_id
 from .sources.shards import source_union as union_of_shards
 from .sources.shards import write_shards
 from .sources.workspace import workspace
-from .spec import Move, Topology
+from .spec import Move, Topology, tables_from
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +144,24 @@ def null_range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_if(F.col("seen_at").isNull()).alias("unscanned"), F.count("seen_at").alias("timed"), inside.alias("in_range"))
 
 
+_PAGE = 400
+
+
+@query(f"""WITH r AS (SELECT o_orderdate, o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // {_PAGE} AS page FROM orders WHERE o_orderdate >= {_ts(pr.PAGED_FROM)} AND o_orderdate < {_ts(pr.PAGED_TO)}),
+full_pages AS (SELECT page, count(*) AS n, max(o_orderdate) AS last_at, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM r GROUP BY page),
+last AS (SELECT coalesce(max(page) FILTER (WHERE n < {_PAGE}), max(page) + 1, 0) AS page FROM full_pages)
+SELECT CAST(page AS BIGINT) AS page, CAST(n AS BIGINT) AS n_rows, last_at AS cursor_at, CAST(id AS BIGINT) AS cursor_id, n < {_PAGE} AS exhausted FROM full_pages
+UNION ALL SELECT last.page, 0, {_ts(pr.PAGED_TO)}, (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM r), true FROM last WHERE last.page NOT IN (SELECT page FROM full_pages)""")
+def page_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read one after another, each from the cursor of the last, until one isn't full."""
+    rows, cursor, out = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), scan.Cursor(), []
+    while not out or not out[-1][4]:
+        page = scan.read_page(rows, "o_orderdate", "o_orderkey", pr.PAGED_FROM, pr.PAGED_TO, cursor, _PAGE)
+        cursor = page.cursor
+        out.append((len(out), page.n, cursor.at, cursor.id, page.exhausted))
+    return spark.createDataFrame(out, "page long, n_rows long, cursor_at timestamp_ntz, cursor_id long, exhausted boolean")
+
+
 # ---- keys and routing
 
 
@@ -513,6 +533,58 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("key", F.col("d.taskId").alias("task_id"), "d.generation", state_store.encode(F.col("d")).alias("again"))
 
 
+_CONFIG = """{"orders": {"enabled": true, "shardKey": {"defaultField": "op_id", "unique": true, "rules": [{"whenField": "kind", "whenValue": 12, "useField": "user_id"}]}, "businessKey": ["op_id", "day"]},
+"events": {"enabled": false, "tableName": "user_events", "shardAlgorithm": "hash_mod", "rangeColumn": "seen_at", "shardKey": {"field": "client_id"}}, "logs": {"shardKey": {"field": "id"}}}"""
+
+
+@query(f"""WITH c AS (SELECT unnest(json_keys(j)) AS k, j FROM (SELECT '{_CONFIG}'::JSON AS j)), t AS (SELECT k, j->k AS t FROM c),
+f AS (SELECT *, t->'$.shardKey' AS s, coalesce(t->>'$.rangeColumn', 'created_at') AS range_column FROM t),
+r AS (SELECT *, list_concat([range_column, 'id'], CASE WHEN s->>'$.field' IS NOT NULL THEN [s->>'$.field'] ELSE list_concat([s->>'$.defaultField'], from_json(coalesce(s->'$.rules[*].whenField', '[]'), '["VARCHAR"]'), from_json(coalesce(s->'$.rules[*].useField', '[]'), '["VARCHAR"]')) END, from_json(coalesce(t->'$.businessKey', '[]'), '["VARCHAR"]')) AS listed FROM f)
+SELECT k AS key, coalesce(t->>'$.tableName', k) AS table_name, coalesce(CAST(t->>'$.enabled' AS BOOLEAN), false) AS enabled, upper(coalesce(t->>'$.shardAlgorithm', 'KETAMA')) AS algorithm, coalesce(CAST(s->>'$.unique' AS BOOLEAN), false) AS unique_key,
+array_to_string(list_transform(list_filter(range(1, len(listed) + 1), lambda i: list_position(listed, listed[i]) = i), lambda i: listed[i]), ',') AS columns FROM r""")
+def configured_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table specs of a configuration document, with the columns that each needs."""
+    specs = tables_from(json.loads(_CONFIG))
+    rows = [(t.key, t.table, t.enabled, t.algorithm, t.shard_key.unique, ",".join(t.required_columns())) for t in specs]
+    return spark.createDataFrame(rows, "key string, table_name string, enabled boolean, algorithm string, unique_key boolean, columns string")
+
+
+_STARTS = [("whole", pr.DATE_FROM, pr.DATE_TO, True, True), ("no start", None, pr.DATE_TO, True, True), ("no end", pr.DATE_FROM, None, True, True), ("empty", pr.DATE_FROM, pr.DATE_FROM, True, True), ("backwards", pr.DATE_TO, pr.DATE_FROM, True, True), ("loose", pr.DATE_FROM, pr.DATE_TO, False, True), ("loose but off", pr.DATE_FROM, pr.DATE_TO, False, False)]
+
+
+@query("WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_ts(a) if a else 'CAST(NULL AS TIMESTAMP)'}, {_ts(b) if b else 'CAST(NULL AS TIMESTAMP)'}, {u}, {e})" for n, a, b, u, e in _STARTS) + ") v(name, a, b, unique_key, enabled)) SELECT name, coalesce(a < b, false) AND (unique_key OR NOT enabled) AS accepted, CAST(enabled AS INTEGER) AS n_enabled FROM s")
+def start_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which moves may start: both dates in order, and every enabled table with a unique key."""
+    rows = []
+    for name, start, end, unique, enabled in _STARTS:
+        move = Move(name, pr.V1, pr.V2, start, end, (replace(pr.ORDERS, shard_key=replace(pr.ORDERS.shard_key, unique=unique), enabled=enabled),))
+        rows.append((name, move.error() is None, len(move.enabled())))
+    return spark.createDataFrame(rows, "name string, accepted boolean, n_enabled int")
+
+
+@query("""SELECT * FROM (VALUES (1, 'put if absent', true), (2, 'put if absent again', false), (3, 'exists', true), (4, 'set at a late revision', false), (5, 'set at the revision', true), (6, 'read', true), (7, 'delete at a late revision', false), (8, 'delete at the revision', true), (9, 'exists after', false),
+(10, 'checkpoint begins once', true), (11, 'checkpoint begins again', false), (12, 'delete by prefix', true), (13, 'others stay', true), (14, 'revisions rise', true)) v(step, what, ok)""")
+def state_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state store's conditional writes and reads, in their order."""
+    store = state_store.StateStore(spark, workspace(spark, "state"))
+    out: list[tuple[str, bool]] = [("put if absent", store.put_if_absent("lock/m1", "a")), ("put if absent again", store.put_if_absent("lock/m1", "b")), ("exists", store.exists("lock/m1"))]
+    first = store.get("lock/m1").revision
+    out += [("set at a late revision", store.compare_and_set("lock/m1", "c", first - 1)), ("set at the revision", store.compare_and_set("lock/m1", "d", first)), ("read", store.get("lock/m1").value == "d")]
+    second = store.get("lock/m1").revision
+    out += [("delete at a late revision", store.compare_and_delete("lock/m1", first)), ("delete at the revision", store.compare_and_delete("lock/m1", second)), ("exists after", store.exists("lock/m1"))]
+    out += [("checkpoint begins once", store.put_if_absent("checkpoints/orders/db1", "2024-01-01")), ("checkpoint begins again", store.put_if_absent("checkpoints/orders/db1", "2024-01-02"))]
+    store.put("slots/db1/001", "t1")
+    out += [("delete by prefix", store.delete_prefix("checkpoints/") and not store.prefix("checkpoints/")), ("others stay", store.exists("slots/db1/001")), ("revisions rise", store.get("slots/db1/001").revision > second > first)]
+    return spark.createDataFrame([(i + 1, what, bool(ok)) for i, (what, ok) in enumerate(out)], "step int, what string, ok boolean")
+
+
+@query("SELECT true AS well_formed, 25 AS n_chars, 'mig-20240101-' AS begins, true AS differ")
+def move_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form of a new move's id: its day, and a random part."""
+    ids = spark.createDataFrame([(move_id(pr.DATE_FROM), move_id(pr.DATE_FROM))], "a string, b string")
+    return ids.select(F.col("a").rlike("^mig-[0-9]{8}-[0-9a-f]{8}-[0-9a-f]{3}$").alias("well_formed"), F.length("a").alias("n_chars"), F.substring("a", 1, 13).alias("begins"), (F.col("a") != F.col("b")).alias("differ"))
+
+
 # ---- stream
 
 
@@ -526,6 +598,18 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.transferred(spark, f"{work}/data", f"{work}/ledger").select("shard_key_value", "ts", "event_type", "source_db", "target_db")
 
 
+@query(f"""WITH RECURSIVE {_routed(_EVENTS_KEYED)} SELECT true AS caught_up, count(DISTINCT key_value) AS n_keys, (SELECT count(*) FROM events) AS n_read FROM routed WHERE source_db <> target_db""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that has caught up, what it has read, and the keys that it has moved."""
+    work = workspace(spark, "progress")
+    stream = incremental.arrivals(spark, sf_dir, table(spark, sf_dir, "events").schema, glob="events.parquet")
+    query_ = incremental.run(stream, "m1", pr.EVENTS, pr.V1, pr.V2, f"{work}/data", f"{work}/ledger", f"{work}/checkpoint", [F.col("ts"), F.col("event_id")])
+    query_.awaitTermination()
+    read = sum(p["numInputRows"] for p in query_.recentProgress)
+    done = incremental.transferred(spark, f"{work}/data", f"{work}/ledger")
+    return done.agg(F.lit(incremental.caught_up(query_)).alias("caught_up"), F.countDistinct("shard_key_value").alias("n_keys"), F.lit(read).cast("long").alias("n_read"))
+
+
 # ---- whole moves
 
 _ONE_FROM, _ONE_TO, _TWO_TO = datetime(1993, 1, 1), datetime(1996, 1, 1), datetime(1998, 1, 1)

@@ -19,3 +19,4 @@ CUSTOMERS = TableSpec("customer", ShardKey("c_custkey", unique=True), algorithm=
 SCAN_FROM, SCAN_TO = datetime(1996, 1, 1), datetime(1997, 1, 1)
 AFTER_AT, AFTER_ID = datetime(1996, 3, 1), 5000
 DATE_FROM, DATE_TO = datetime(2024, 1, 1), datetime(2024, 1, 2)
+PAGED_FROM, PAGED_TO = datetime(1996, 1, 1), datetime(1996, 3, 1)
