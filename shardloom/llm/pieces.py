@@ -119,22 +119,24 @@ class Vocabulary:
 
     def _viterbi_with_unknown(self, word: str) -> list[int]:
         n = len(word)
-        best, back = [0.0] + [None] * n, [(0, 0)] * (n + 1)
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
-        for end in range(n):
-            top, link, alone = None, None, False
-            for size, i, score in sorted(ends[end], reverse=True):  # longest first
-                total = best[end + 1 - size] + score
-                if top is None or total > top:
-                    top, link = total, (size, i)
-                alone |= size == 1
-            if not alone:
-                total = best[end] + self.worst
-                if top is None or total > top:
-                    top, link = total, (1, -1)
-            best[end + 1], back[end + 1] = top, link
+        best, back, alone, settled = [0.0] + [-inf] * n, [(0, 0)] * (n + 1), bytearray(n), 0
+
+        def settle(upto: int) -> None:
+            """A character that no piece is alone may be unknown; every position up to here is then final."""
+            for at in range(settled, upto):
+                if not alone[at] and best[at] + self.worst > best[at + 1]:
+                    best[at + 1], back[at + 1] = best[at] + self.worst, (1, -1)
+
+        for end, (size, i, score) in self.automaton.iter(word):
+            if end > settled:
+                settle(end)
+                settled = end
+            total = best[end + 1 - size] + score
+            if total > best[end + 1]:
+                best[end + 1], back[end + 1] = total, (size, i)
+            if size == 1:
+                alone[end] = 1
+        settle(n)
         out, at = [], n
         while at:
             size, i = back[at]
