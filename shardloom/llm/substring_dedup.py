@@ -72,6 +72,7 @@ KINDS = {
 }
 SPAN = [*KINDS[HIT], ("len", "<u4")]
 ROWS = "kind int, key int, blob binary"
+SLOTTED = f"{ROWS}, slot int"
 SPANS = f"{ROWS}, sdoc long, stag long, spos long, len long"
 SPANS_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("blob", pa.binary()), *[(c, pa.int64()) for c in ("sdoc", "stag", "spos", "len")]])
 
@@ -284,13 +285,14 @@ class Plan:
         return hits, take(table, np.flatnonzero(lead & new))
 
     def second_step(self, key: int, fresh: pa.Table, held: pa.Table | None, keep: bool) -> pa.Table:
+        """Packed rows with their slot, the group's own key: what a task writes stays in its own bucket files."""
         if key >= self.buckets:
-            return fresh
+            return fresh.select(["kind", "key", "blob"]).append_column("slot", pa.array([key] * len(fresh), pa.int32()))
         hits, run = self.merge(unpack(blobs_of(fresh), self.kinds[ENTRY]), unpack([] if held is None else blobs_of(held), self.kinds[RUN]))
         out = list(self.deal(hits, HIT))
         if keep and len(run["hash"]):
             out.append((RUN, key, pack(run, self.kinds[RUN])))
-        return _table(out)
+        return _slotted(out, key)
 
     def third_step(self, rows: pa.Table) -> pa.Table:
         """Spans for the documents' shard (kind 0, packed), and the shard's different requests to sources (kind 1, a row each)."""
@@ -338,6 +340,11 @@ def _table(rows: Iterable[Packed]) -> pa.Table:
     return pa.Table.from_arrays(_arrays(rows), names=["kind", "key", "blob"])
 
 
+def _slotted(rows: Iterable[Packed], slot: int) -> pa.Table:
+    table = _table(rows)
+    return table.append_column("slot", pa.array([slot] * len(table), pa.int32()))
+
+
 def blobs_of(rows: pa.Table) -> list[bytes]:
     return rows.column("blob").to_pylist()
 
@@ -471,9 +478,9 @@ class WindowIndex:
         return self.spark.table(name).select("key", "blob")
 
     def _save(self, rows: DataFrame) -> tuple[str, int]:
-        """Write packed rows by kind and bucket; the folder, and its entries' bytes."""
+        """Write packed rows by kind and their slot's bucket; the folder, and its entries' bytes."""
         folder, name = f"run-{uuid4().hex}", f"window_run_{uuid4().hex}"
-        rows.write.partitionBy("kind").bucketBy(self.files, "key").option("path", f"{self.path}/{folder}").option("compression", "none").format("parquet").saveAsTable(name)
+        rows.write.partitionBy("kind").bucketBy(self.files, "slot").option("path", f"{self.path}/{folder}").option("compression", "none").format("parquet").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # the files stay
         held = exists(self.spark, f"{self.path}/{folder}/kind={RUN}")
         return folder, self.spark.read.schema("key int, blob binary").parquet(f"{self.path}/{folder}/kind={RUN}").agg(F.sum(F.octet_length("blob"))).first()[0] if held else 0
@@ -502,10 +509,10 @@ class WindowIndex:
         fresh = one_by_one(plan, docs.where(F.col("_doc").isNotNull()).select("_doc", "_text").mapInArrow(first, ROWS), settle=True)
         held = self.held()
         if held is None:
-            merged = fresh.groupBy("key").applyInArrow(lambda key, rows: plan.second_step(key[0].as_py(), rows, None, keep), ROWS)
+            merged = fresh.groupBy("key").applyInArrow(lambda key, rows: plan.second_step(key[0].as_py(), rows, None, keep), SLOTTED)
         else:
             # a bucket without fresh entries has nothing to say
-            merged = fresh.groupBy("key").cogroup(held.groupBy("key")).applyInArrow(lambda key, rows, old: plan.second_step(key[0].as_py(), rows, old, keep) if len(rows) else _table(()), ROWS)
+            merged = fresh.groupBy("key").cogroup(held.groupBy("key")).applyInArrow(lambda key, rows, old: plan.second_step(key[0].as_py(), rows, old, keep) if len(rows) else _slotted((), 0), SLOTTED)
         folder, size = self._save(merged)
         if keep:
             self.runs.append((folder, size))
@@ -522,10 +529,10 @@ class WindowIndex:
 
         def join(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
             parts = unpack([*blobs_of(a), *blobs_of(b)], plan.kinds[RUN])  # the hashes of two runs differ
-            return _table([(RUN, key[0].as_py(), pack(take(parts, plan.by_hash(parts)), plan.kinds[RUN]))])
+            return _slotted([(RUN, key[0].as_py(), pack(take(parts, plan.by_hash(parts)), plan.kinds[RUN]))], key[0].as_py())
 
         old, new = (self._table([f]).groupBy("key") for f in folders)
-        return self._save(old.cogroup(new).applyInArrow(join, ROWS))
+        return self._save(old.cogroup(new).applyInArrow(join, SLOTTED))
 
     def compact(self, always: bool = False) -> None:
         """Merge the newest runs while the newer has at least two thirds of the size of the older."""
@@ -552,9 +559,9 @@ class WindowIndex:
 
         def join(key: tuple, rows: pa.Table) -> pa.Table:
             parts = unpack(blobs_of(rows), plan.kinds[RUN])
-            return _table([(RUN, key[0].as_py(), pack(take(parts, plan.by_hash(parts)), plan.kinds[RUN]))])
+            return _slotted([(RUN, key[0].as_py(), pack(take(parts, plan.by_hash(parts)), plan.kinds[RUN]))], key[0].as_py())
 
-        made = self._save(held.select("blob").mapInArrow(deal, ROWS).groupBy("key").applyInArrow(join, ROWS))
+        made = self._save(held.select("blob").mapInArrow(deal, ROWS).groupBy("key").applyInArrow(join, SLOTTED))
         self.spent += [f for f, _ in self.runs]
         self.runs = [made]
 
