@@ -157,6 +157,7 @@ def test_stages(rows, empty, stage, spark, sf):
         assert got.columns == corpus_pipeline.COLUMNS
 
 
-def test_one_row_of_an_id_stays(rows, spark, sf):
+def test_one_row_of_a_group_stays(rows, spark, sf):
+    """The row without an id or words is a copy of 2 and goes; the one with words of its own stays."""
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, sf).collect()]
-    assert sorted(got, key=str) == sorted([1, 2, None, None, 5, 7, 2**60 + 1, -3], key=str)
+    assert sorted(got, key=str) == sorted([1, 2, None, 5, 7, 2**60 + 1, -3], key=str)
