@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, append_columns, chunks, durable, mix64, packed, scratch, split_words, unpacked
+from .common import Hasher, append_columns, chunks, durable, mix64, packed, split_words, unpacked
 
 #: Bins that words are hashed to.
 BINS = 1 << 18
@@ -152,9 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         found = list(features([(t or "").encode() for t in texts], Hasher(seed)))
         return [pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.astype(np.int32).tobytes() for _, w in found], pa.binary())]
 
-    made = durable(append_columns(rows, ["_text"], [("style", "binary"), ("words", "binary")], compute))
-    upto = F.sum(F.octet_length("words") + F.octet_length("style")).over(Window.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id"))  # max_labelled rows, about
-    made = made.withColumn("upto", upto).where(F.col("upto") <= max_bytes)
+    made = durable(append_columns(rows, ["_text"], [("style", "binary"), ("words", "binary")], compute).withColumn("_order", F.xxhash64(F.lit(seed), "_id")))
+    sizes = made.select("_order", (F.octet_length("words") + F.octet_length("style")).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("_order"))  # max_labelled narrow rows, about
+    last = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).agg(F.max("_order")).first()[0]
+    made = made.where(F.col("_order") <= F.lit(last)) if last is not None else made.limit(0)
     # a partition at a time, in an order that doesn't depend on the tasks'
     found = sorted((str(r["_id"]), bytes(r["words"]), bytes(r["style"]), r["good"]) for r in made.toLocalIterator())
     styles = np.array([np.frombuffer(r[2], np.float64) for r in found]).reshape(len(found), STYLE)
@@ -194,19 +196,15 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text: str = "text", threshold: float = 0.5, with_rows: bool = False) -> DataFrame:
     """The rows of ``docs`` (without ``text`` unless ``with_rows``) with evidence, site_rate, posterior and kept.
 
-    Rows are scored once and written: with texts as a table of the shared
-    folder, without them as a checkpoint.
+    Without texts rows are scored once and checkpointed. With them they are scored
+    once for the sites and again for the result: a copy of all texts on disk would
+    cost more than the scores.
     """
-    spark = docs.sparkSession
     results = ["evidence", "site_rate", "posterior", "kept"]
     left_out = results if with_rows else [text, *results]
     rows = docs.select(packed(docs, left_out).alias("_row"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("_text"))
     scored = append_columns(rows, ["_text"], [("evidence", "double")], lambda texts: [pa.array(model.score(texts), pa.float64())])
-    if with_rows:
-        at = scratch(spark, "scored")
-        scored.write.option("compression", "zstd").parquet(at)
-        scored = spark.read.schema(scored.schema).parquet(at)
-    else:
+    if not with_rows:
         scored = durable(scored)
     sites = durable(site_posteriors(scored.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p"))))
     few = sites.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
