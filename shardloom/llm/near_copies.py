@@ -1,18 +1,21 @@
 """Near-duplicate removal on SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Every text becomes a node: the hash of its words, its SimHash over the
-   shingles, the shingles of its prefix and a sketch of all of them.
+   shingles, their number and a sketch of them.
 2. The trie self-join links fingerprints at ``bits`` or fewer differing bits. It
    finds about half of the near copies, and those at a fraction of the cost.
 3. Near copies may lie further apart than any budget that a trie can prune by:
    at a similarity of 0.8 a bit differs with probability 0.15. The rest is
    therefore found exactly. In any one order of all shingles, two near copies
    share a shingle among the first ``n // 5 + 1`` of each, n being a set's size.
-   Shingles that are common in a sample of texts come last in that order; the
-   sample changes the time taken, never the pairs. Documents that share a
-   shingle of their prefixes meet at it. Only components are wanted: where all
-   that meet are in one component already, nothing is left to do; else all are
-   compared with one of them, and then pairs of different components.
+   The order is by the number of texts that have a shingle, counted over all of
+   them in hash buckets: those of one text alone come first and can't be shared,
+   so that a text with over a fifth of its own meets no other. (Shingles that
+   are common in a sample aren't counted but come last; the sample changes the
+   time taken, never the pairs.) Texts that share a shingle of their prefixes
+   meet at it. Only components are wanted: where all that meet are in one
+   component already, nothing is left to do; else all are compared with one of
+   them, twice, and then pairs of different components.
 4. Every pair, from either way, must pass two tests: the sketches' bound (the
    shingles counted in ``BINS`` bins: two sets share at most the sum of the
    smaller counts) and its whole sets. Whole sets are made for pairs alone that
@@ -34,21 +37,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, append_columns, chunks, durable, packed, sliced, split_words, written
+from .common import Hasher, append_columns, chunks, discard_table, durable, packed, sliced, small, split_words, written
 from .components import connected_components
 from .simhash import links as trie_links
 from .simhash import majority
+from .substring_dedup import CHUNK, ENTRY, ROWS, Plan, _batch, blobs_of, buckets_for, one_by_one, pack, take, unpack
 
 SHINGLE = 5
-#: Of so many texts one is in the sample that orders shingles (``SAMPLE`` texts at least); a shingle that is common in it, and how many of those are held.
+#: Of so many texts one is in the sample (``SAMPLE`` texts at least); a shingle that is common in it comes last, and how many of those are held.
 EVERY, SAMPLE, COMMON, MOST_COMMON = 64, 6_000, 3, 200_000
 #: Bins of a sketch, and the largest set that has one; larger sets go straight to the whole comparison.
 BINS, MOST_SKETCHED = 256, 1 << 20
-#: Shingles or nodes whose list is sent to every executor instead of joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 
 
 def node_of(text: str | None) -> int:
@@ -66,20 +69,6 @@ def shingle_sets(texts: list[str | None], hasher: Hasher) -> Iterator[np.ndarray
             yield np.unique(windows[at : at + n - SHINGLE + 1]) if n >= SHINGLE else np.array([node_of(texts[i])], np.int64).view(np.uint64)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the order of (count in the sample, hash)."""
-    size = len(shingles) // 5 + 1
-    if not len(common):
-        return shingles[:size]
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    known = common[at] == shingles
-    rare = shingles[~known]
-    if len(rare) >= size:
-        return rare[:size]
-    held, rank = shingles[known], counts[at[known]]
-    return np.concatenate((rare, held[np.argsort(rank, kind="stable")]))[:size]
-
-
 def sketch(shingles: np.ndarray) -> bytes:
     """How many of the shingles are in each bin; nothing for a very large set."""
     if len(shingles) > MOST_SKETCHED:
@@ -104,31 +93,122 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    df = durable(df)
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def described(texts: DataFrame) -> DataFrame:
-    """doc_id, node, n (the set's size), fp (its SimHash), heads (its prefix) and sketch of every row of (doc_id, text)."""
-    common, counts = _common(texts)
-    held = texts.sparkSession.sparkContext.broadcast((common, counts))  # bounded by MOST_COMMON
+    """doc_id, node, n (the set's size), fp (its SimHash) and sketch of every row of (doc_id, text)."""
     hasher = Hasher()
 
     def compute(rows: list[str | None]) -> list[pa.Array]:
-        node, n, fp, heads, sketches = [], [], [], [], []
+        node, n, fp, sketches = [], [], [], []
         for text, shingles in zip(rows, shingle_sets(rows, hasher), strict=True):
             node.append(node_of(text))
             n.append(len(shingles))
             fp.append(majority(shingles))
-            heads.append(prefix(shingles, *held.value))
             sketches.append(sketch(shingles))
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
-        flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)))
-        return [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), flat, pa.array(sketches, pa.binary())]
+        return [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())]
+
+    return append_columns(texts, ["text"], [("node", "long"), ("n", "long"), ("fp", "long"), ("sketch", "binary")], compute, keep=["doc_id"])
+
 
-    fields = [("node", "long"), ("n", "long"), ("fp", "long"), ("heads", "array<bigint>"), ("sketch", "binary")]
-    return append_columns(texts, ["text"], fields, compute, keep=["doc_id"])
+#: Packed rows of a chunk of texts, in its order: the nodes, their common shingles, and shingles that other texts have too.
+NODES = [("node", "<i8"), ("n", "<u4")]
+COMMON_OF = [("at", "<u4"), ("h", "<u8")]
+SHARED = [("doc", "<i8"), ("at", "<u4"), ("h", "<u8"), ("df", "<u4")]
+CHUNKS = "kind int, chunk long, blob binary"
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(h, node, n, at): of each text's prefix the shingles that another may share, and their places in it.
+
+    A chunk of texts sends its shingles, sorted and packed, to hash buckets; a
+    bucket counts them and returns to each chunk those of several texts.
+    """
+    common, counts = _common(texts)
+    held = texts.sparkSession.sparkContext.broadcast((common, counts))  # bounded by MOST_COMMON
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    plan, hasher = Plan(SHINGLE, buckets_for(total), False, 1, np.zeros(0, np.uint64)), Hasher()
+
+    def packed_chunk(chunk: int, rows: list[str | None]) -> Iterator[tuple[int, int, bytes]]:
+        """The chunk's nodes and common shingles (kind -1, -2), and its entries for the buckets."""
+        common, _ = held.value
+        seen: dict[int, str | None] = {}
+        for text in rows:
+            seen.setdefault(node_of(text), text)
+        sets = list(shingle_sets(list(seen.values()), hasher))
+        size = np.array([len(x) for x in sets], np.int64)
+        h, at = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), size)
+        known = np.zeros(len(h), bool)
+        if len(common):
+            known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        yield -1, chunk, pack({"node": np.array(list(seen), np.int64), "n": size}, NODES)
+        yield -2, chunk, pack({"at": at[known], "h": h[known]}, COMMON_OF)
+        order = np.argsort(h[~known], kind="stable")
+        n = len(order)
+        yield from plan.deal({"hash": h[~known][order], "doc": np.full(n, chunk), "tag": np.zeros(n, np.uint32), "pos": at[~known][order]}, ENTRY)
+
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        chunk, rows, size = (context.partitionId() if context else 0) << 32, [], 0
+        for batch in sliced(batches):
+            for text in batch.column("text").to_pylist():
+                rows.append(text)
+                size += len(text or "")
+                if size >= CHUNK:
+                    yield _wide(packed_chunk(chunk, rows))
+                    chunk, rows, size = chunk + 1, [], 0
+        if rows:
+            yield _wide(packed_chunk(chunk, rows))
+
+    def count(rows: pa.Table) -> pa.Table:
+        table = unpack(blobs_of(rows), plan.kinds[ENTRY])
+        order = np.argsort(table["hash"], kind="stable")
+        h = table["hash"][order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        df = np.diff(np.append(np.flatnonzero(new), len(h)))
+        df = np.repeat(df, df)
+        several = df > 1
+        table, df = take(table, order[several]), df[several]
+        out = {"doc": table["doc"], "at": table["pos"], "h": table["hash"], "df": df.astype(np.uint32)}
+        order = np.argsort(out["doc"], kind="stable")
+        out = take(out, order)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(out["doc"])) + 1, [len(order)])) if len(order) else [0]
+        found = [(0, int(out["doc"][b]), pack({n: c[b:e] for n, c in out.items()}, SHARED)) for b, e in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.Table.from_batches([_chunk_rows(found)])
+
+    def choose(rows: pa.Table) -> pa.Table:
+        common, counts = held.value
+        kinds = rows.column("kind").to_numpy()
+        part = lambda kind, columns: unpack(rows.filter(pa.array(kinds == kind)).column("blob").to_pylist(), columns)
+        nodes, last, shared = part(-1, NODES), part(-2, COMMON_OF), part(0, SHARED)
+        h, at = np.concatenate((shared["h"], last["h"])), np.concatenate((shared["at"], last["at"])).astype(np.int64)
+        rank = np.concatenate((shared["df"].astype(np.int64), (1 << 40) + (counts[np.searchsorted(common, last["h"])] if len(last["h"]) else np.zeros(0, np.int64))))
+        order = np.lexsort((h, rank, at))
+        h, at = h[order], at[order]
+        mine = np.bincount(at, minlength=len(nodes["n"]))
+        n = nodes["n"].astype(np.int64)
+        place = (n - mine)[at] + np.arange(len(at)) - (np.cumsum(mine) - mine)[at]
+        keep = place < (n // 5 + 1)[at]
+        return pa.table({"h": h[keep].view(np.int64), "node": nodes["node"][at[keep]], "n": n[at[keep]], "at": place[keep]})
+
+    sent = written(texts.select("text").mapInArrow(pack_texts, f"{ROWS}, chunk long"), "entries")
+    entries = one_by_one(plan, sent.where("kind >= 0").select("kind", "key", "blob"))
+    back = entries.groupBy("key").applyInArrow(lambda rows: count(rows), CHUNKS)
+    own = sent.where("kind < 0").select("kind", "chunk", "blob")
+    found = durable(own.unionAll(back).groupBy("chunk").applyInArrow(lambda rows: choose(rows), "h long, node long, n long, at long").dropDuplicates(["h", "node"]))  # a node may be in several chunks
+    discard_table(sent)
+    return found
+
+
+def _chunk_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kind, chunk, blob = zip(*rows) if rows else ((), (), ())  # noqa: B905
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], names=["kind", "chunk", "blob"])
+
+
+def _wide(rows: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Packed rows by bucket, and those of a chunk itself."""
+    rows = list(rows)
+    batch = _batch([(kind, key if kind >= 0 else 0, blob) for kind, key, blob in rows])
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if kind >= 0 else key for kind, key, _ in rows], pa.int64())], names=["kind", "key", "blob", "chunk"])
 
 
 def _enough(a: str, b: str) -> Column:
@@ -168,21 +248,22 @@ def similar(x: bytes, y: bytes) -> bool:
 def sets_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes (node, first: the smallest id of its rows)."""
     hasher = Hasher()
-    ids = _small(wanted.select(F.col("first").alias("_first")).distinct())
+    ids = small(wanted.select(F.col("first").alias("_first")).distinct())
     some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     one = append_columns(some, ["text"], [("node", "long"), ("text", "string")], lambda rows: [pa.array([node_of(t) for t in rows], pa.int64()), pa.array(rows, pa.string())], keep=[])
-    one = one.join(_small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    one = one.join(small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     return append_columns(one, ["text"], [("shingles", "binary")], lambda rows: [pa.array([s.tobytes() for s in shingle_sets(rows, hasher)], pa.binary())])
 
 
 def near(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of nodes those that are near copies."""
     pairs = durable(pairs.where("a <> b").distinct())
-    held = nodes.select("node", "sketch")
+    # of the nodes only those that are in a pair: few of them are sent to the nodes, which then stay where they are
+    held = durable(nodes.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node").select("node", "first", "sketch"))
     met = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("of_b")), "b")
     left = durable(_judged(met, "of_a", "of_b", may_share))
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(sets_of(durable(nodes.select("node", "first").join(wanted, "node")), texts), "shingles")
+    sets = durable(sets_of(durable(held.select("node", "first").join(wanted, "node")), texts))
     met = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     return durable(_judged(met, "of_a", "of_b", similar))
 
@@ -196,18 +277,20 @@ def links(nodes: DataFrame, texts: DataFrame, bits: int = 3) -> DataFrame:
     forest = forest.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     pairs = alike.unionByName(forest.select(*_ordered("x", "y")))
     # the rest: nodes that share a shingle of their prefixes
-    at = nodes.select("node", "n", F.posexplode("heads").alias("at", "h"))
-    shared = _small(at.groupBy("h").count().where("count > 1").select("h"))
-    met, found = written(at.join(shared, "h"), "met"), None
-    for _ in range(2):
+    at = prefixes(texts)
+    shared = small(at.groupBy("h").count().where("count > 1").select("h"))
+    met, found = durable(at.join(shared, "h")), None
+    for turn in range(3):
         new = near(pairs, nodes, texts)
         found = new if found is None else found.unionByName(new)
         roots = connected_components(found)
-        rooted = met.select("h", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        met = written(rooted.join(mixed, "h").select("h", "node", "n", "at", "root"), "met")
-        # all that meet with one of them
-        order = F.struct(F.xxhash64("node", "h"), F.col("node"))
+        rooted = met.select("h", "node", "n", "at").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = small(rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"))
+        met = durable(rooted.join(mixed, "h").select("h", "node", "n", "at", "root"))
+        if turn == 2:
+            break
+        # all that meet with one of them: the same wherever the same texts meet
+        order = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))
         first = met.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "root"), order).alias("c")).select("h", "c.*")
         pairs = met.alias("x").join(first.alias("y"), "h").where("x.root <> y.root").where(_enough("x.", "y.")).select(*_ordered("x.node", "y.node"))
     pairs = met.alias("x").join(met.alias("y"), "h").where("x.node < y.node AND x.root <> y.root").where(_enough("x.", "y."))
@@ -217,12 +300,15 @@ def links(nodes: DataFrame, texts: DataFrame, bits: int = 3) -> DataFrame:
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3) -> DataFrame:
     """doc_id, node (the hash of the text's words), component_id and stays (the component's row with the smallest id, ties to the smallest node) of every row."""
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = written(described(texts), "described")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("n", "fp", "heads", "sketch")).alias("d")).select("node", "first", "d.*"), "nodes")
+    wide = written(described(texts), "described")
+    rows = durable(wide.select("doc_id", "node"))
+    nodes = written(wide.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("n", "fp", "sketch")).alias("d")).select("node", "first", "d.*"), "nodes")
+    discard_table(wide)
     roots = connected_components(links(nodes, texts, bits))
     rooted = durable(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")))  # written, so that a large component's rows can be split
     named = durable(rooted.join(named, "root").select("node", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node")))
+    discard_table(nodes)
     stays = (F.col("node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id", stays.alias("stays"))
 
