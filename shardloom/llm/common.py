@@ -67,6 +67,21 @@ def discard_table(df: DataFrame) -> None:
         discard(df.sparkSession, folder)
 
 
+#: Rows of a counted narrow table for each task that reads it.
+TASK_ROWS = 50_000
+
+
+def tasks_for(rows: int, each: int = TASK_ROWS) -> int:
+    return max(1, -(-rows // each))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A narrow table, cut off, and its rows; read by as many tasks as those need, however many partitions it was made in."""
+    df = durable(df)
+    rows = df.count()
+    return df.coalesce(tasks_for(rows)), rows
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A narrow table, cut off and counted: sent to every executor by the joins that use it if it has at most ``most`` rows, else shuffled by them."""
     df = durable(df)

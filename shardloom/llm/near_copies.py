@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, append_columns, chunks, discard_table, durable, packed, sliced, small, split_words, written
+from .common import Hasher, append_columns, chunks, counted, discard_table, durable, packed, sliced, split_words, tasks_for, written
 from .components import connected_components
 from .simhash import links as trie_links
 from .simhash import majority
@@ -50,6 +50,10 @@ from .substring_dedup import CHUNK, ENTRY, ROWS, Plan, _batch, blobs_of, buckets
 SHINGLE = 5
 #: Of so many texts one is in the sample (``SAMPLE`` texts at least); a shingle that is common in it comes last, and how many of those are held.
 EVERY, SAMPLE, COMMON, MOST_COMMON = 64, 6_000, 3, 200_000
+#: Rows of a list that is sent to every executor by joins, or links that are joined in one task; longer lists are shuffled, by rounds.
+MOST_SENT = 1_000_000
+#: Pairs whose sketches or whole sets a task compares.
+TASK_PAIRS = 512
 #: Bins of a sketch, and the largest set that has one; larger sets go straight to the whole comparison.
 BINS, MOST_SKETCHED = 256, 1 << 20
 
@@ -116,8 +120,8 @@ SHARED = [("doc", "<i8"), ("at", "<u4"), ("h", "<u8"), ("df", "<u4")]
 CHUNKS = "kind int, chunk long, blob binary"
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """(h, node, n, at): of each text's prefix the shingles that another may share, and their places in it.
+def prefixes(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(h, node, n, at): of each text's prefix the shingles that another may share, and their places in it; and the number of these rows.
 
     A chunk of texts sends its shingles, sorted and packed, to hash buckets; a
     bucket counts them and returns to each chunk those of several texts.
@@ -194,7 +198,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
     entries = one_by_one(plan, sent.where("kind >= 0").select("kind", "key", "blob"))
     back = entries.groupBy("key").applyInArrow(lambda rows: count(rows), CHUNKS)
     own = sent.where("kind < 0").select("kind", "chunk", "blob")
-    found = durable(own.unionAll(back).groupBy("chunk").applyInArrow(lambda rows: choose(rows), "h long, node long, n long, at long").dropDuplicates(["h", "node"]))  # a node may be in several chunks
+    found = counted(own.unionAll(back).groupBy("chunk").applyInArrow(lambda rows: choose(rows), "h long, node long, n long, at long").dropDuplicates(["h", "node"]))  # a node may be in several chunks
     discard_table(sent)
     return found
 
@@ -216,6 +220,12 @@ def _enough(a: str, b: str) -> Column:
     return F.expr(f"9 * least({a}n - {a}at, {b}n - {b}at) >= 4 * ({a}n + {b}n)")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A counted narrow table: sent to every executor by the joins that use it, if it is short enough."""
+    df, rows = counted(df)
+    return F.broadcast(df) if rows <= MOST_SENT else df
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -245,47 +255,53 @@ def similar(x: bytes, y: bytes) -> bool:
     return bool(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
 
 
-def sets_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, first: the smallest id of its rows)."""
+def sets_of(wanted: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes (node, first: the smallest id of its rows), made by ``tasks`` tasks."""
     hasher = Hasher()
-    ids = small(wanted.select(F.col("first").alias("_first")).distinct())
+    ids = _small(wanted.select(F.col("first").alias("_first")).distinct())
     some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     one = append_columns(some, ["text"], [("node", "long"), ("text", "string")], lambda rows: [pa.array([node_of(t) for t in rows], pa.int64()), pa.array(rows, pa.string())], keep=[])
-    one = one.join(small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    one = one.join(_small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).coalesce(tasks)
     return append_columns(one, ["text"], [("shingles", "binary")], lambda rows: [pa.array([s.tobytes() for s in shingle_sets(rows, hasher)], pa.binary())])
 
 
 def near(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of nodes those that are near copies."""
-    pairs = durable(pairs.where("a <> b").distinct())
+    """Of the pairs (a, b) of nodes those that are near copies.
+
+    What is made for the pairs is made by as many tasks as they need, so that a
+    few pairs don't run every partition's tasks at each step.
+    """
+    pairs, rows = counted(pairs.where("a <> b").distinct())
+    tasks = tasks_for(rows, TASK_PAIRS)
     # of the nodes only those that are in a pair: few of them are sent to the nodes, which then stay where they are
-    held = durable(nodes.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node").select("node", "first", "sketch"))
+    held = durable(nodes.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node").select("node", "first", "sketch")).coalesce(tasks)
     met = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("of_b")), "b")
-    left = durable(_judged(met, "of_a", "of_b", may_share))
+    left = durable(_judged(met.coalesce(tasks), "of_a", "of_b", may_share))
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = durable(sets_of(durable(held.select("node", "first").join(wanted, "node")), texts))
+    sets = durable(sets_of(durable(held.select("node", "first").join(wanted, "node").coalesce(tasks)), texts, tasks))
     met = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return durable(_judged(met, "of_a", "of_b", similar))
+    return durable(_judged(met.coalesce(tasks), "of_a", "of_b", similar))
 
 
 def links(nodes: DataFrame, texts: DataFrame, bits: int = 3) -> DataFrame:
     """Links (a, b) with the components of all near copies among ``nodes``."""
     # the trie: fingerprints, and the nodes that share one
-    heads = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    heads, _ = counted(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     alike = nodes.select("node", "fp").join(heads, "fp").select(*_ordered("node", "head"))
     forest = trie_links(heads.select("fp"), bits)
     forest = forest.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     pairs = alike.unionByName(forest.select(*_ordered("x", "y")))
     # the rest: nodes that share a shingle of their prefixes
-    at = prefixes(texts)
-    shared = small(at.groupBy("h").count().where("count > 1").select("h"))
+    at, rows = prefixes(texts)
+    tasks = tasks_for(rows)  # what follows has no more rows, but for pairs
+    shared = _small(at.groupBy("h").count().where("count > 1").select("h").coalesce(tasks))
     met, found = durable(at.join(shared, "h")), None
     for turn in range(3):
         new = near(pairs, nodes, texts)
         found = new if found is None else found.unionByName(new)
-        roots = connected_components(found)
-        rooted = met.select("h", "node", "n", "at").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = small(rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"))
+        roots = connected_components(found, MOST_SENT)
+        rooted = met.select("h", "node", "n", "at").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = _small(rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h").coalesce(tasks))
         met = durable(rooted.join(mixed, "h").select("h", "node", "n", "at", "root"))
         if turn == 2:
             break
@@ -304,10 +320,11 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: i
     rows = durable(wide.select("doc_id", "node"))
     nodes = written(wide.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("n", "fp", "sketch")).alias("d")).select("node", "first", "d.*"), "nodes")
     discard_table(wide)
-    roots = connected_components(links(nodes, texts, bits))
-    rooted = durable(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    named = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")))  # written, so that a large component's rows can be split
-    named = durable(rooted.join(named, "root").select("node", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node")))
+    roots = _small(connected_components(links(nodes, texts, bits), MOST_SENT))
+    rooted, count = counted(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    tasks = tasks_for(count)
+    named = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")).coalesce(tasks))  # written, so that a large component's rows can be split
+    named = durable(rooted.join(named, "root").select("node", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node")).coalesce(tasks))
     discard_table(nodes)
     stays = (F.col("node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id", stays.alias("stays"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns, durable
-from .components import connected_components
+from .components import connected_components, union
 
 #: Fingerprints to a batch of small units; node pairs that are traversed at once; leaf pairs that are compared directly.
 BATCH, PAIRS, DIRECT = 1 << 16, 1 << 16, 64
@@ -76,19 +76,6 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return append_columns(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), ["text"], [("fp", "long")], compute)
 
 
-def _union(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (a component's smallest index) after linking a with b."""
-    while True:
-        ra, rb = comp[a], comp[b]
-        apart = ra != rb
-        if not apart.any():
-            return comp
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(comp, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (up := comp[comp]).tobytes() != comp.tobytes():
-            comp = up
-
-
 def _runs(comp: np.ndarray) -> np.ndarray:
     """For each index, where its run of equal labels ends."""
     ends = np.append(np.flatnonzero(comp[1:] != comp[:-1]) + 1, len(comp))
@@ -124,7 +111,7 @@ def trie_join(values: np.ndarray, tops: np.ndarray, depth: int, bits: int) -> np
             i, j = np.repeat(al[at], n) + k // w, np.repeat(bl[at], n) + k % w
             near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= bits)
             if near.any():
-                comp = _union(comp, i[near], j[near])
+                comp = union(comp, i[near], j[near])
                 runs = _runs(comp)
         deep = ~few & ~joined
         if not deep.any():

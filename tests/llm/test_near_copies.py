@@ -8,6 +8,9 @@ import corpus_pipeline
 from shardloom.llm import near_copies
 from tests.llm.test_operators import groups_of
 
+#: With 48 shuffle partitions.
+MOST_TASKS = 5_000
+
 
 def shingles(text):
     w = (text or "").encode().lower().split()
@@ -57,6 +60,28 @@ def test_stage_finds_every_near_copy(spark, sf):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(set(expected))
 
 
+def test_few_rows_take_few_tasks(spark):
+    """A few pairs don't run every shuffle partition's tasks at each step: each task costs the driver memory and the shared folder files."""
+    rows, context = made(), spark.sparkContext
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few_rows", "near copies")
+        kept = sorted(r.doc_id for r in near_copies.near_duplicates(docs).collect())
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few_rows") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == sorted(set(plain_components(rows)[1]))
+    assert tasks < MOST_TASKS
+
+
 def test_rows_of_one_id_are_judged_by_their_text(spark):
     """Two texts of one id both stay; a row without an id goes where another row of its component has one."""
     one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")

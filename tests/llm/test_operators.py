@@ -100,6 +100,21 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 300)} | {1001: 1000}
 
 
+@pytest.mark.parametrize("at_once", [0, 200, 10**6])
+def test_components_in_one_task_are_those_of_the_rounds(spark, at_once):
+    """Few enough links are joined in one task, more by rounds; ids of either sign, repeats, loops, no links."""
+    rng = random.Random(6)
+    pairs = [(rng.randrange(-(2**63), 2**63) if rng.random() < 0.1 else rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)]
+    pairs += [(b, a) for a, b in pairs[:20]] + [(7, 7)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.connected_components(spark.createDataFrame(pairs, "a long, b long"), at_once)
+    assert sorted(map(tuple, got.collect())) == sorted((x, r) for x, r in root.items() if r != x)
+    assert not components.connected_components(spark.createDataFrame([], "a long, b long"), at_once).collect()
+
+
 # ---- 2
 
 
