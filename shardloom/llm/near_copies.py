@@ -15,7 +15,8 @@
    time taken, never the pairs.) Texts that share a shingle of their prefixes
    meet at it. Only components are wanted: where all that meet are in one
    component already, nothing is left to do; else all are compared with one of
-   them, twice, and then pairs of different components.
+   them, twice, and then pairs of different components, where they meet: only
+   those that the sketches allow become rows.
 4. Every pair, from either way, must pass two tests: the sketches' bound (the
    shingles counted in ``BINS`` bins: two sets share at most the sum of the
    smaller counts) and its whole sets. Whole sets are made for pairs alone that
@@ -54,6 +55,8 @@ EVERY, SAMPLE, COMMON, MOST_COMMON = 64, 6_000, 3, 200_000
 MOST_SENT = 1_000_000
 #: Pairs whose sketches or whole sets a task compares.
 TASK_PAIRS = 512
+#: Texts of a shingle that are compared in one task.
+SPLIT = 1 << 13
 #: Bins of a sketch, and the largest set that has one; larger sets go straight to the whole comparison.
 BINS, MOST_SKETCHED = 256, 1 << 20
 
@@ -249,6 +252,61 @@ def may_share(x: bytes, y: bytes) -> bool:
     return max(x.max(), y.max()) == 65535 or bool(9 * np.minimum(x, y).sum() >= 4 * (x.sum() + y.sum()))
 
 
+def _met_in(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a group's rows that are of different components and pass the bounds of places and sketches."""
+    node, n, at, root = (group.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "at", "root"))
+    held = group.column("sketch").to_pylist()
+    counts = np.stack([np.frombuffer(x or bytes(2 * BINS), "<u2") for x in held])
+    free = np.array([not x for x in held]) | (counts.max(1) == 65535)
+    total, rest, a, b = counts.sum(1, dtype=np.int64), n - at, [], []
+    for i in range(len(node) - 1):
+        j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (9 * np.minimum(rest[i], rest[i + 1 :]) >= 4 * (n[i] + n[i + 1 :])))
+        if len(j):
+            j = j[free[i] | free[j] | (9 * np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64) >= 4 * (total[i] + total[j]))]
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def meetings(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components that meet in ``met`` (h, node, n, at, root) and that the bounds allow.
+
+    All rows of a shingle are compared where they lie, and only pairs that pass
+    are rows: a shingle's pairs grow with the square of its texts. Shingles of
+    over ``SPLIT`` texts are dealt in parts, every two parts to a task.
+    """
+    wide = nodes.select("node", "sketch").join(_small(met.select("node").distinct()), "node")
+    parts = _small(met.groupBy("h").count().where(F.col("count") > SPLIT).select("h", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")))
+    rows = met.join(wide, "node").join(parts, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).where("parts = 1 OR other <> part")
+    rows = rows.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "n", "at", "root", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+            found = [_met_in(table.slice(x, y - x)) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if y - x > 1]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+            each = np.unique(np.stack((a, b)), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(each[0]), pa.array(each[1])], names=["a", "b"])
+
+        left = None  # a shingle that goes on into the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([left, table]).combine_chunks() if left is not None else table
+            if not table.num_rows:
+                continue
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("h", "lo", "hi")])
+            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1))
+            left = table.slice(int(edges[-1]))
+            if len(edges) > 1:
+                yield pairs(table, edges)
+        if left is not None:
+            yield pairs(left, np.array([0, left.num_rows]))
+
+    return rows.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(compare, "a long, b long")
+
+
 def similar(x: bytes, y: bytes) -> bool:
     """Whether two sets have a Jaccard similarity of 0.8 or more."""
     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -309,8 +367,7 @@ def links(nodes: DataFrame, texts: DataFrame, bits: int = 3) -> DataFrame:
         order = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))
         first = met.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "root"), order).alias("c")).select("h", "c.*")
         pairs = met.alias("x").join(first.alias("y"), "h").where("x.root <> y.root").where(_enough("x.", "y.")).select(*_ordered("x.node", "y.node"))
-    pairs = met.alias("x").join(met.alias("y"), "h").where("x.node < y.node AND x.root <> y.root").where(_enough("x.", "y."))
-    return found.unionByName(near(pairs.select(*_ordered("x.node", "y.node")), nodes, texts))
+    return found.unionByName(near(meetings(met, nodes), nodes, texts))
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3) -> DataFrame:

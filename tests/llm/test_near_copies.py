@@ -60,6 +60,27 @@ def test_stage_finds_every_near_copy(spark, sf):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(set(expected))
 
 
+@pytest.mark.parametrize("split", [1 << 13, 7])
+def test_pairs_that_meet_become_rows_only_if_the_bounds_allow(spark, split, monkeypatch):
+    """A shingle that many texts share makes no row for each two of them, and no near copies are lost."""
+    monkeypatch.setattr(near_copies, "SPLIT", split)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:30] + [f"{i}x{j}" for j in range(30)]) for i in range(40)]
+    for i in range(12):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"e{i}"
+        texts.append(" ".join(copy))
+    rows = [(near_copies.node_of(t), x) for t, x in zip(texts, near_copies.shingle_sets(texts, near_copies.Hasher()), strict=True)]
+    nodes = spark.createDataFrame([(k, near_copies.sketch(x)) for k, x in rows], "node long, sketch binary")
+    met = spark.createDataFrame([(h, k, len(x), 0, k) for k, x in rows for h in (1, 2)], "h long, node long, n long, at long, root long")
+    got = [tuple(r) for r in near_copies.meetings(met, nodes).collect()]
+    alike = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if near_copies.similar(x.tobytes(), y.tobytes())}
+    allowed = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if near_copies.may_share(near_copies.sketch(x), near_copies.sketch(y))}
+    assert alike and alike <= set(got) == allowed
+    assert len(allowed) < 200 < len(rows) * (len(rows) - 1) // 2
+
+
 def test_few_rows_take_few_tasks(spark):
     """A few pairs don't run every shuffle partition's tasks at each step: each task costs the driver memory and the shared folder files."""
     rows, context = made(), spark.sparkContext
